@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHU
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(size), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -65,7 +66,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHU
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, nulls as empty texts, and the offsets of the texts (one more than texts)."""
     if pa.types.is_large_string(column.type) or column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type):
         column = column.cast(pa.string())
     buffers = column.buffers()

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
 from .bpe import op8_bpe_pair_index
+from .decontaminate import op7_training_suffix_arrays
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_bpe_pair_index,)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_training_suffix_arrays, op8_bpe_pair_index)}
+ORACLE: dict[str, str] = {"op7_training_suffix_arrays": decontaminate.ORACLE}

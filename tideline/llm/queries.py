@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate
 from .bpe import op8_bpe_pair_index
 from .decontaminate import op7_training_suffix_arrays
+from .secrets import op10_randomness_battery
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_training_suffix_arrays, op8_bpe_pair_index)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_training_suffix_arrays, op8_bpe_pair_index, op10_randomness_battery)}
 ORACLE: dict[str, str] = {"op7_training_suffix_arrays": decontaminate.ORACLE}

@@ -17,7 +17,11 @@ CHUNK_BYTES = 6_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``sf_dir``."""
+    """The Parquet table ``name`` below ``sf_dir``. Texts can be long: the session hands fewer rows at a time to Python
+    and reads fewer at a time than by default, so that a batch stays small in the JVM and in the worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.parquet.columnarReaderBatchSize", 1024)):
+        if int(spark.conf.get(key)) > most:
+            spark.conf.set(key, most)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

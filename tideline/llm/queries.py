@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, warc
 from .bpe import op8_bpe_pair_index
 from .decontaminate import op7_training_suffix_arrays
 from .quality import op1_compression_quality
 from .secrets import op10_randomness_battery
 from .toxicity import op3_nonnegative_pu
+from .warc import op6_seekable_bundles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_quality, op3_nonnegative_pu, op7_training_suffix_arrays, op8_bpe_pair_index, op10_randomness_battery)}
-ORACLE: dict[str, str] = {"op7_training_suffix_arrays": decontaminate.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_quality, op3_nonnegative_pu, op6_seekable_bundles, op7_training_suffix_arrays, op8_bpe_pair_index, op10_randomness_battery)}
+ORACLE: dict[str, str] = {"op7_training_suffix_arrays": decontaminate.ORACLE, "op6_seekable_bundles": warc.ORACLE}

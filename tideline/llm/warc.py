@@ -191,7 +191,8 @@ def read(bundles: DataFrame, column: str = "bundle", with_payload: bool = True)
     """All records (columns RECORDS) of the bundles that ``column`` names, each bundle once: frame by frame, found by
     the seek tables. Of responses, length and digest are computed from the payload as read; a payload that differs from
     its digest is an error."""
-    names = bundles.select(F.col(column).alias("bundle")).where("bundle is not null").distinct()
+    names = written(bundles.select(F.col(column).alias("bundle")).where("bundle is not null").distinct(), "names")
+    names = names.repartition(max(1, names.count()))  # a few bytes a row, but each stands for a whole bundle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("source_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("bundle", pa.string()), ("frame", pa.int32()), ("place", pa.int32())])

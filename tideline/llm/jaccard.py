@@ -332,7 +332,8 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_col: str = "
         frequent = token[order], picked.column("seen").to_numpy().astype(np.float64)[order]
     rows = desc.where("n is not null")
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = written(candidate_edges(prefixes(docs, frequent, k, percent, text_col), percent), "edges")
+    heads = written(prefixes(docs, frequent, k, percent, text_col), "prefixes")
+    edges = written(candidate_edges(heads, percent), "edges")
     groups = written(components(edges).withColumnRenamed("node", "fp").join(nodes, "fp"), "groups")
     found = _sets_of(docs, groups, k, doc_col, text_col).groupBy("fp").agg(F.first("tokens").alias("tokens"))
     sets = written(found.join(groups.select("fp", "label"), "fp"), "sets")

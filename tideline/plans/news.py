@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import text as txt
 from tideline.functions import urls
 from tideline.operators import dedup, sampling, taxonomy
+from tideline.sources import articles
 
 from .base import Registry, table
 
@@ -205,3 +206,10 @@ def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def longest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five longest documents of each source (a top-k report)."""
     return sampling.top_per_group(table(spark, sf_dir, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 5).select("source", "doc_id", "rank")
+
+
+@R.query(f"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS headline, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+CASE WHEN regexp_extract({_PATH}, '^/+([^/]+)', 1) = '' OR regexp_full_match(regexp_extract({_PATH}, '^/+([^/]+)', 1), '\\d+') THEN NULL ELSE regexp_extract({_PATH}, '^/+([^/]+)', 1) END AS section, 'missing_publisher_timestamp' AS timestamp_status FROM pages""")
+def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline, language and section of each page; none here gives a publication time."""
+    return articles.extract(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "headline", "lang", "section", "timestamp_status")

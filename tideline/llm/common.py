@@ -116,7 +116,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     """64-bit hashes of the spans: differences of one running polynomial over the bytes, brought to a common power.
 
     ``fold`` maps bytes before hashing (lower-casing). Equal spans have equal hashes anywhere."""
-    block = 1 << 20
+    block = 1 << 18
     out = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         inverse = np.uint64(pow(_MULTIPLIER, -1, 1 << 64))

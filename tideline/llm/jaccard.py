@@ -28,7 +28,7 @@ PAIRS_UP_TO = 24
 #: Longest multi-match requirement that a document considers, and the cost of verifying a candidate in postings.
 MOST_MATCHES, VERIFY_COST = 8, 50
 #: Shingles of a task among which locally frequent ones are counted at a time; those seen this often are reported.
-COUNT_WINDOW, REPORTED = 4_000_000, 3
+COUNT_WINDOW, REPORTED = 2_000_000, 3
 #: Frequent shingles in the global order's table, at most (16 bytes each); others count as rare.
 FREQUENT = 1 << 18
 #: Bytes of shingle sets in a tile's block.

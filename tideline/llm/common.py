@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time; a single longer text is a chunk of its own.
@@ -47,17 +47,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join broadcasts, at most (16 bytes each as numbers); more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def listed(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids`` (one column). Ids are counted first: few go to the rows, else the rows are
+    shuffled to them. A null among the ids stands for rows without an id."""
+    ids = ids.toDF("__listed").distinct()
+    total, known = ids.agg(F.count("*"), F.count("__listed")).head()
+    some = ids.where("__listed is not null")
+    found = rows.join(F.broadcast(some) if known <= BROADCAST_ROWS else some, F.col(id_col) == F.col("__listed"), "left_semi")
+    return found.unionByName(rows.where(F.col(id_col).isNull())) if total > known else found
+
+
 def held_out(doc_id: str, folds: int, fold: int):
     """Whether crc32(doc_id as text) mod ``folds`` is ``fold``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == fold
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, cut so that no chunk of over one row has more than ``limit`` bytes of ``column``."""
+def cols(names: Iterable[str]) -> list[Column]:
+    """The columns of exactly these names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def ddl(df: DataFrame, names: Iterable[str]) -> str:
+    """The named columns as the beginning of a schema text."""
+    kinds = dict(df.dtypes)
+    return "".join("`" + n.replace("`", "``") + f"` {kinds[n]}, " for n in names)
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], column: int = -1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, cut so that no chunk of over one row has more than ``limit`` bytes in the text column, by
+    default the last one (by place, as names may repeat)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(column % batch.num_columns)
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(size), 0
         while start < batch.num_rows:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
+from .common import LOWER, NOT_SPACE, cols, ddl, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
 from .components import components
 
 #: Shared prefix shingles of more nodes than this give a star instead of pairs.
@@ -63,9 +63,8 @@ def fingerprint(shingles: np.ndarray) -> int:
 def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, fp long (null for empty sets) and n long of each row, and besides rows with token and
     seen, which tell the shingles that are locally frequent."""
-    picked = docs.select(*keep, docs[text_col].cast("string").alias("__text"))
-    kept = picked.select(*keep).dtypes
-    kinds = "".join(f"`{c}` {t}, " for c, t in kept)
+    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -78,7 +77,7 @@ def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) ->
             none = [pa.nulls(len(token), f.type) for f in schema]
             return pa.RecordBatch.from_arrays([*none, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(seen)], names=names)
 
-        for chunk in text_chunks(batches, "__text"):
+        for chunk in text_chunks(batches):
             schema = list(chunk.schema)[:-1]
             fp, n = [], []
             for s in Shingles(k).sets(chunk.column(chunk.num_columns - 1)):
@@ -105,7 +104,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
         done: set[int] = set()
-        for chunk in text_chunks(batches, "__text"):
+        for chunk in text_chunks(batches):
             parts, fps, ns, needs, sizes = [], [], [], [], []
             for s in Shingles(k).sets(chunk.column(0)):
                 n = len(s)
@@ -262,13 +261,11 @@ def tile_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, doc_col: str, text_col: str) -> DataFrame:
     """(fp, tokens) of the documents whose ids are listed. Few ids go to the texts, else the texts to the ids."""
-    ids = ids.select("rep").distinct()
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
     rows = docs.select(docs[doc_col].alias("id"), docs[text_col].cast("string").alias("__text"))
-    rows = rows.join(ids, rows["id"].eqNullSafe(ids["rep"]), "left_semi").select("__text")
+    rows = listed(rows, "id", ids.select("rep")).select("__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "__text", 2_000_000):
+        for chunk in text_chunks(batches, limit=2_000_000):
             sets = [s for s in Shingles(k).sets(chunk.column(0)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "tokens"])
 
@@ -363,7 +360,8 @@ def op9_adaptive_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS t FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id

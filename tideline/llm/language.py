@@ -92,7 +92,7 @@ def evidence(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     kind = dict(picked.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "__html"):
+        for chunk in text_chunks(batches):
             data, offsets = utf8(chunk.column(chunk.num_columns - 1))
             raw = data.tobytes()
             logs = shared.value.likelihoods([visible(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])

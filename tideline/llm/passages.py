@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
+from .common import LOWER, NOT_SPACE, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
 from .jaccard import fingerprint
 
 SHINGLE = 5
@@ -90,7 +90,7 @@ def windows(docs: DataFrame, text_col: str, doc_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for chunk in text_chunks(batches, "__text", 3_000_000):
+        for chunk in text_chunks(batches, limit=3_000_000):
             words, first = _words(chunk.column(1))
             m, n = chunk.num_rows, np.diff(first)
             fps = [None if a == b else sequence_fingerprint(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -181,13 +181,11 @@ def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int,
 
 def _sequences(docs: DataFrame, ids: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     """(fp, words) of the documents listed in ``ids`` (rep): 32-bit word hashes, enough beside 64-bit minima."""
-    ids = ids.select("rep").distinct()
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
     rows = docs.select(docs[doc_col].alias("id"), docs[text_col].cast("string").alias("__text"))
-    rows = rows.join(ids, rows["id"].eqNullSafe(ids["rep"]), "left_semi").select("__text")
+    rows = listed(rows, "id", ids.select("rep")).select("__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "__text", 2_000_000):
+        for chunk in text_chunks(batches, limit=2_000_000):
             words, first = _words(chunk.column(0))
             parts = [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([sequence_fingerprint(p) for p in parts], pa.int64()), pa.array([(p >> np.uint64(32)).astype(np.uint32).tobytes() for p in parts], pa.binary())], names=["fp", "words"])

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cols, table
 
 #: The base patterns by kind, in the order in which ties are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -151,13 +151,13 @@ def battery(run: Column) -> Column:
 def _with_runs(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """keep, __text, __base, and __runs: the tested runs that touch no base span."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    found = docs.select(*keep, text.alias("__text"))
+    found = docs.select(*cols(keep), text.alias("__text"))
     found = found.select("*", base_spans(F.col("__text")).alias("__base"), spans_of(F.col("__text"), RUN, 3).alias("__places"))
     free = F.filter("__places", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    found = found.select(*keep, "__text", "__base", free.alias("__free"))
+    found = found.select(*cols(keep), "__text", "__base", free.alias("__free"))
     tested = F.transform("__free", lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), battery(F.substring("__text", r["start"] + 1, r["end"] - r["start"])).alias("test")))
     runs = F.when(F.size("__free") > 0, F.filter(tested, lambda r: r["test"].isNotNull()))
-    return found.select(*keep, "__text", "__base", runs.alias("__runs"))
+    return found.select(*cols(keep), "__text", "__base", runs.alias("__runs"))
 
 
 def cleared_cells(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
@@ -192,7 +192,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), pr
         random = F.col("__runs")
     added = F.transform(random, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
     every = F.array_sort(F.concat("__base", F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return found.select(*keep, F.col("__base").alias(f"{prefix}base"), every.alias(f"{prefix}spans"), *([F.col("__text").alias(f"{prefix}text")] if prefix else []))
+    return found.select(*cols(keep), F.col("__base").alias(f"{prefix}base"), every.alias(f"{prefix}spans"), *([F.col("__text").alias(f"{prefix}text")] if prefix else []))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
@@ -207,7 +207,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
 
     done = F.aggregate("__secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     cleaned = F.when(F.size("__secret_spans") > 0, done).otherwise(F.col(text_col))
-    return found.select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return found.select(*(cleaned.alias(c) if c == text_col else cols([c])[0] for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, held_out, mix, table, text_chunks, utf8, word_hashes, word_spans
+from .common import LOWER, byte_class, cols, ddl, held_out, mix, table, text_chunks, utf8, word_hashes, word_spans
 from .sampling import FIT_BYTES, labelled, texts_of, thinned
 
 #: Confirmed toxic texts and unlabelled texts in the fit, about.
@@ -60,7 +60,7 @@ class PuModel:
         in_u = np.bincount(at[seen[at] == u], minlength=len(seen))
         rate_p, rate_u = in_p / len(positive), (in_u + 0.5) / len(unlabelled)
         lift = rate_p / rate_u
-        good = np.flatnonzero(lift >= min(3.0, 0.5 / prior))
+        good = np.flatnonzero((lift >= min(3.0, 0.5 / prior)) & (in_p * np.log(lift) >= 5))  # more than chance
         best = good[np.argsort(-(rate_p * np.log(lift))[good], kind="stable")[:FEATURES]]
         self.hashes = np.sort(seen[best])
         if not len(best):
@@ -118,7 +118,7 @@ def _feature_sets(rows: DataFrame) -> list[np.ndarray]:
     """Of each text (a bounded sample): its distinct feature hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text"):
+        for chunk in text_chunks(batches):
             texts, hashes = features(*utf8(chunk.column(0)))
             order = np.argsort(texts, kind="stable")
             cut = np.searchsorted(texts[order], np.arange(1, chunk.num_rows))
@@ -143,12 +143,12 @@ def score(docs: DataFrame, model: PuModel, text_col: str = "text", keep: tuple[s
     """The columns ``keep`` and the score (double) of each row's whole text; nulls count as the empty text, which has
     the score of a text without any toxic sign. One row out for each row in, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
-    picked = docs.select(*keep, docs[text_col].cast("string").alias("__text"))
-    kinds = "".join(f"`{c}` {t}, " for c, t in picked.select(*keep).dtypes) if keep else ""
+    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = shared.value.prepared()
-        for chunk in text_chunks(batches, "__text"):
+        for chunk in text_chunks(batches):
             values = ready.scores(*utf8(chunk.column(chunk.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(values, pa.float64())], names=[*keep, name])
 

@@ -170,7 +170,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
             out.close()
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("record_id", pa.string()), ("source_id", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("place", pa.int32()), ("size", pa.int32())]))
 
-        for chunk in text_chunks(batches, "payload"):
+        for chunk in text_chunks(batches, 2):
             for source, url, payload, digest, refers_to, revisit in zip(*(c.to_pylist() for c in chunk.columns), strict=True):
                 if out is None:
                     path, rows = f"{folder}/{uuid.uuid4().hex}.warc.zst", []

@@ -35,12 +35,11 @@ def dense_days(calendar: DataFrame, date_col: str = "date", lead_days: int = 0)
 def align_forward(rows: DataFrame, calendar: DataFrame, eligible: Column, date_col: str = "date") -> DataFrame:
     """``rows`` with eligible_date and effective_date: the first calendar date not before ``eligible``, null beyond the
     calendar's end. Days before the first date take the first one. Rows keep their number."""
-    first = calendar.agg(F.min(date_col).alias("__first"))
+    first = calendar.agg(F.min(date_col)).scalar()  # a subquery of one value, not a join
     days = dense_days(calendar, date_col).select(F.col("day").alias("__day"), F.col("effective").alias("effective_date"))
     staged = rows.withColumn("eligible_date", eligible)
-    bounded = staged.join(F.broadcast(first)).withColumn("__key", F.greatest("eligible_date", "__first"))  # one row
-    bounded = bounded.withColumn("__key", F.when(F.col("eligible_date").isNotNull(), F.col("__key")))
-    return bounded.join(days, bounded["__key"] == days["__day"], "left").drop("__first", "__key", "__day")
+    bounded = staged.withColumn("__key", F.when(F.col("eligible_date").isNotNull(), F.greatest("eligible_date", first)))
+    return bounded.join(days, bounded["__key"] == days["__day"], "left").drop("__key", "__day")
 
 
 def cutoff_seconds(day: Column, default: str, regimes: Sequence[tuple[str, str, str]] = ()) -> Column:

@@ -17,9 +17,15 @@ def canonical(rows: DataFrame, columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
 
 
-def first_filled(sorted_items: Column, field: str) -> Column:
-    """Of sorted observations the first value of ``field`` that is neither null nor empty; "" if there is none."""
-    return F.coalesce(F.try_element_at(F.filter(F.transform(sorted_items, lambda i: i[field]), lambda v: v.isNotNull() & (v != "")), F.lit(1)), F.lit(""))
+def first_filled(value: Column, order: Column) -> Column:
+    """An aggregate: the value of the first row by ``order`` whose value is neither null nor empty; "" if there is none.
+    It is kept as a pair, so that a hot group costs no more than others."""
+    return F.coalesce(F.min_by(value, F.when(value.isNotNull() & (value != ""), order)), F.lit(""))
+
+
+def _union(values: Column) -> Column:
+    """An aggregate: the distinct values, none null or empty, in order."""
+    return F.array_sort(F.collect_set(F.when(values != "", values)))
 
 
 def clean_archive(records: DataFrame, hosts: Sequence[str], host: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -40,16 +46,23 @@ def clean_archive(records: DataFrame, hosts: Sequence[str], host: str, start: st
 
 
 def merge_archive(cleaned: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per normalized_url of the kept records: the representative is the first in canonical order."""
-    item = F.struct(canonical(cleaned, columns).alias("canon"), F.col("clean_title").alias("title"), F.col("url"), F.col("publication_date"), F.col("discovered_for_date"), F.col("quality_flags"))
-    grouped = cleaned.where("disposition = 'kept'").groupBy("normalized_url").agg(F.array_sort(F.collect_list(item)).alias("o"))
-    o = F.col("o")
-    return grouped.select(
-        article_id(F.col("normalized_url")).alias("article_id"), "normalized_url", first_filled(o, "url").alias("original_url"), first_filled(o, "title").alias("title"),
-        o[0]["publication_date"].alias("publication_date"), F.array_sort(F.array_distinct(F.array_compact(F.transform(o, lambda i: i["discovered_for_date"].try_cast("date").cast("string"))))).alias("discovered_for_dates"),
-        F.size(o).cast("long").alias("source_record_count"), F.array_sort(F.array_distinct(F.flatten(F.transform(o, lambda i: i["quality_flags"])))).alias("quality_flags"),
-        F.transform(o, lambda i: i["canon"]).alias("retrieval_provenance"),
+    """One row per normalized_url of the kept records: each field is the first that is filled, in canonical order.
+    provenance() has the observations."""
+    kept = cleaned.where("disposition = 'kept'").withColumn("__o", canonical(cleaned, columns))
+    o = F.col("__o")
+    codes = kept.select("normalized_url", F.explode("quality_flags").alias("f")).groupBy("normalized_url").agg(F.array_sort(F.collect_set("f")).alias("quality_flags"))
+    merged = kept.groupBy("normalized_url").agg(
+        first_filled(F.col("url"), o).alias("original_url"), first_filled(F.col("clean_title"), o).alias("title"), F.min("publication_date").alias("publication_date"),
+        _union(F.col("discovered_for_date").try_cast("date").cast("string")).alias("discovered_for_dates"), F.count("*").alias("source_record_count"),
     )
+    merged = merged.join(codes, "normalized_url", "left").withColumn("quality_flags", F.coalesce("quality_flags", F.array().cast("array<string>")))
+    return merged.select(article_id(F.col("normalized_url")).alias("article_id"), *merged.columns)
+
+
+def provenance(cleaned: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(article_id, record): every kept observation of each article, losslessly, as rows rather than one list."""
+    kept = cleaned.where("disposition = 'kept'")
+    return kept.select(article_id(F.col("normalized_url")).alias("article_id"), canonical(cleaned, columns).alias("record"))
 
 
 def clean_feed(records: DataFrame) -> DataFrame:
@@ -66,30 +79,30 @@ def clean_feed(records: DataFrame) -> DataFrame:
 
 def merge_feed(cleaned: DataFrame, columns: Sequence[str], fields: Sequence[str] = ("domain", "language")) -> DataFrame:
     """One row per normalized_url: observations in the order (time, unknown last; canonical text), each field the first
-    that is filled, flags, categories and addresses as sets, and the count of observations."""
-    item = F.struct(
-        F.col("seen_at").isNull().alias("late"), F.col("seen_at").alias("ts"), canonical(cleaned, columns).alias("canon"), F.col("clean_title").alias("title"), F.col("url"),
-        F.col("quality_flags"), *(F.trim(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields), F.col("query_category").alias("category"),
-    )
-    grouped = cleaned.where("disposition = 'kept'").groupBy("normalized_url").agg(F.array_sort(F.collect_list(item)).alias("o"))
-    o = F.col("o")
-    distinct = lambda c: F.array_sort(F.array_distinct(c))
-    return grouped.select(
-        article_id(F.col("normalized_url")).alias("article_id"), "normalized_url", first_filled(o, "url").alias("original_url"), first_filled(o, "title").alias("title"), o[0]["ts"].alias("published_at_utc"),
-        distinct(F.filter(F.transform(o, lambda i: i["category"]), lambda c: c.isNotNull() & (c != ""))).alias("categories"), distinct(F.transform(o, lambda i: i["url"])).alias("original_urls"),
-        *(first_filled(o, f).alias(f) for f in fields), F.size(o).cast("long").alias("source_record_count"), distinct(F.flatten(F.transform(o, lambda i: i["quality_flags"]))).alias("quality_flags"),
-        F.array_sort(F.transform(o, lambda i: i["canon"])).alias("retrieval_provenance"),
+    that is filled, flags, categories and addresses as sets, and the count of observations. provenance() has them all."""
+    kept = cleaned.where("disposition = 'kept'").withColumn("__o", F.struct(F.col("seen_at").isNull().alias("late"), F.col("seen_at").alias("ts"), canonical(cleaned, columns).alias("canon")))
+    o = F.col("__o")
+    codes = kept.select("normalized_url", F.explode("quality_flags").alias("f")).groupBy("normalized_url").agg(F.array_sort(F.collect_set("f")).alias("quality_flags"))
+    merged = kept.groupBy("normalized_url").agg(
+        first_filled(F.col("url"), o).alias("original_url"), first_filled(F.col("clean_title"), o).alias("title"), F.min("seen_at").alias("published_at_utc"),
+        _union(F.col("query_category")).alias("categories"), _union(F.col("url")).alias("original_urls"), *(first_filled(F.trim(f), o).alias(f) for f in fields), F.count("*").alias("source_record_count"),
     )
+    merged = merged.join(codes, "normalized_url", "left").withColumn("quality_flags", F.coalesce("quality_flags", F.array().cast("array<string>")))
+    return merged.select(article_id(F.col("normalized_url")).alias("article_id"), *merged.columns)
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order; Spark cuts groups to one row before the shuffle."""
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
 def duplicate_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All members of groups with more than one row."""
-    return rows.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n > 1").drop("__n")
+    """All members of groups with more than one row: a pre-aggregated count, then a semi-join that can split hot keys."""
+    many = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(many, cond, "left_semi")
 
 
 def duplicate_count(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -33,9 +33,8 @@ def purged_rows(rows: DataFrame, *splits: DataFrame, on: str = "date") -> DataFr
 
 def baselines(rows: DataFrame, fit: str = "train", target: str = "y") -> DataFrame:
     """Adds b0_pred (majority of the fit split, ties up) and b1_pred (sign of the last return)."""
-    share = rows.where(F.col("split") == fit).agg(F.avg(target).alias("__m"))
-    out = rows.join(F.broadcast(share))  # one row
-    return out.withColumn("b0_pred", (F.col("__m") >= 0.5).cast("int")).withColumn("b1_pred", (F.col("ret_lag_0") > 0).cast("int")).drop("__m")
+    share = rows.where(F.col("split") == fit).agg(F.avg(target)).scalar()  # a subquery of one value, not a join
+    return rows.withColumn("b0_pred", (share >= 0.5).cast("int")).withColumn("b1_pred", (F.col("ret_lag_0") > 0).cast("int"))
 
 
 def leakage_checks(rows: DataFrame, date_col: str = "date") -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import tokens
 
+#: Words of a lexicon that is broadcast, at most.
+LEXICON_ROWS = 1_000_000
+
 
 def price_features(series: DataFrame, date_col: str = "date", rate_col: str = "rate", lags: Sequence[int] = (0, 1, 2, 3, 4), momentum: Sequence[int] = (5, 20), volatility: int = 20, average: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """ret (percent), ret_lag_k, momentum_n (mean return), volatility_n (sample deviation), ma_dist_n, weekday dummies
@@ -51,8 +54,11 @@ def tone(docs: DataFrame, lexicon: DataFrame, key: str, text: Column, negators:
     only tokens of the lexicon are counted after the join."""
     words = docs.select(key, F.transform(tokens(text), lambda t: F.upper(t)).alias("__t"))
     placed = words.select(key, F.size("__t").alias("__n"), F.explode_outer(F.transform("__t", lambda t, i: F.struct(t.alias("w"), F.exists(F.slice(F.col("__t"), F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), lambda p: p.isin(*negators)).alias("neg")))).alias("x"))
-    hit = placed.select(key, "__n", "x.w", F.col("x.neg").alias("negated")).join(lexicon, F.col("w") == lexicon["word"], "left")
-    p, n, u = (F.coalesce(lexicon[c], F.lit(False)) for c in ("is_positive", "is_negative", "is_uncertainty"))
+    # a lexicon has some thousand words; one that hasn't is shuffled rather than broadcast
+    lexicon = lexicon.select("word", "is_positive", "is_negative", "is_uncertainty")
+    known = F.broadcast(lexicon) if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS else lexicon
+    hit = placed.select(key, "__n", "x.w", F.col("x.neg").alias("negated")).join(known, F.col("w") == known["word"], "left")
+    p, n, u = (F.coalesce(known[c], F.lit(False)) for c in ("is_positive", "is_negative", "is_uncertainty"))
     pos = p & ~F.col("negated")
     neg = (p & F.col("negated")) | (~p & n)
     sums = hit.groupBy(key).agg(F.max("__n").cast("long").alias("n_tokens"), F.count_if(pos).alias("pos"), F.count_if(neg).alias("neg"), F.count_if(u).alias("unc"))

@@ -208,8 +208,36 @@ def longest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.top_per_group(table(spark, sf_dir, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 5).select("source", "doc_id", "rank")
 
 
-@R.query(f"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS headline, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+@R.query(f"""SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS headline, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
 CASE WHEN regexp_extract({_PATH}, '^/+([^/]+)', 1) = '' OR regexp_full_match(regexp_extract({_PATH}, '^/+([^/]+)', 1), '\\d+') THEN NULL ELSE regexp_extract({_PATH}, '^/+([^/]+)', 1) END AS section, 'missing_publisher_timestamp' AS timestamp_status FROM pages""")
 def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline, language and section of each page; none here gives a publication time."""
     return articles.extract(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "headline", "lang", "section", "timestamp_status")
+
+
+_FEED = f"""{TRACKED}, r AS (SELECT page_id, url, normalized_url, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 HOUR AS ts,
+ CASE WHEN page_id % 4 = 0 THEN '' ELSE regexp_extract(html, '<html lang="([^"]*)"', 1) END AS language, 'c' || (page_id % 3) AS category FROM n)"""
+
+
+@R.query(f"""WITH {_FEED} SELECT sha256(normalized_url) AS article_id, normalized_url, arg_min(url, page_id) AS original_url, coalesce(arg_min(title, page_id) FILTER (title <> ''), '') AS title, strftime(min(ts), '%Y-%m-%d %H:%M') AS published,
+array_to_string(list_sort(list_distinct(list(category))), ',') AS categories, array_to_string(list_sort(list_distinct(list(url))), ' ') AS original_urls, coalesce(arg_min(language, page_id) FILTER (language <> ''), '') AS language, count(*) AS source_record_count FROM r GROUP BY normalized_url""")
+def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as feed records, merged per address: the first filled value of each field in order of time."""
+    i = F.col("page_id")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + i * 3600), "yyyyMMdd'T'HHmmss'Z'")
+    records = table(spark, sf_dir, "pages").select(
+        "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), stamp.alias("seendate"),
+        F.when(i % 4 == 0, "").otherwise(F.regexp_extract("html", '<html lang="([^"]*)"', 1)).alias("language"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("query_category"),
+    )
+    merged = dedup.merge_feed(dedup.clean_feed(records), ["url", "title", "seendate", "language", "query_category"], ["language"])
+    return merged.select("article_id", "normalized_url", "original_url", "title", F.date_format("published_at_utc", "yyyy-MM-dd HH:mm").alias("published"), F.array_join("categories", ",").alias("categories"), F.array_join("original_urls", " ").alias("original_urls"), "language", "source_record_count")
+
+
+@R.query(f"""WITH a AS (SELECT page_id, url, {_PATH} AS path, DATE '2024-01-01' + CAST(page_id % 9 AS INT) AS found FROM pages),
+c AS (SELECT *, CASE WHEN regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) IN {HOSTS} THEN 'https://www.example.org' || path END AS normalized_url FROM a)
+SELECT disposition, count(*) AS n, count(DISTINCT normalized_url) AS addresses FROM (SELECT *, CASE WHEN normalized_url IS NULL OR NOT (path LIKE '%.html' AND regexp_matches(path, '/\\d{{4}}/\\d{{2}}/\\d{{2}}/')) THEN 'quarantined' ELSE 'kept' END AS disposition FROM c) GROUP BY 1""")
+def archive_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archive records: how many are kept and quarantined, and their addresses."""
+    records = table(spark, sf_dir, "pages").select("url", F.lit("t").alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 9).cast("int")).cast("string").alias("discovered_for_date"))
+    found = dedup.clean_archive(records, HOSTS, "www.example.org")
+    return found.groupBy("disposition").agg(F.count("*").alias("n"), F.count_distinct("normalized_url").alias("addresses"))

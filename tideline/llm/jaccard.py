@@ -27,8 +27,9 @@ from .components import components
 PAIRS_UP_TO = 24
 #: Longest multi-match requirement that a document considers, and the cost of verifying a candidate in postings.
 MOST_MATCHES, VERIFY_COST = 8, 50
-#: Shingles of a task among which locally frequent ones are counted at a time; those seen this often are reported.
-COUNT_WINDOW, REPORTED = 2_000_000, 3
+#: Shingles are counted locally in so many classes by their hashes, so many of a class at a time; those seen this often are
+#: reported. Classes make the window, in which a shingle can be seen again, as many times longer than what is sorted.
+COUNT_CLASSES, COUNT_WINDOW, REPORTED = 4, 1_500_000, 2
 #: Frequent shingles in the global order's table, at most (16 bytes each); others count as rare.
 FREQUENT = 1 << 18
 #: Bytes of shingle sets in a tile's block.
@@ -67,31 +68,34 @@ def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) ->
     kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         names = [*keep, "fp", "n", "token", "seen"]
+        held: list[list[np.ndarray]] = [[] for _ in range(COUNT_CLASSES)]
+        sizes = [0] * COUNT_CLASSES
         schema = None
 
-        def frequent() -> pa.RecordBatch:
-            token, seen = np.unique(np.concatenate(held), return_counts=True)
+        def frequent(k: int) -> pa.RecordBatch:
+            token, seen = np.unique(np.concatenate(held[k]), return_counts=True)
             token, seen = token[seen >= REPORTED], seen[seen >= REPORTED]
+            held[k], sizes[k] = [], 0
             none = [pa.nulls(len(token), f.type) for f in schema]
             return pa.RecordBatch.from_arrays([*none, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(seen)], names=names)
 
         for chunk in text_chunks(batches):
             schema = list(chunk.schema)[:-1]
-            fp, n = [], []
-            for s in Shingles(k).sets(chunk.column(chunk.num_columns - 1)):
-                fp.append(fingerprint(s) if len(s) else None)
-                n.append(len(s))
-                held.append(s)
-                size += len(s)
+            sets = list(Shingles(k).sets(chunk.column(chunk.num_columns - 1)))
             m = chunk.num_rows
+            fp, n = [fingerprint(x) if len(x) else None for x in sets], [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
-            if size >= COUNT_WINDOW:
-                yield frequent()
-                held, size = [], 0
-        if held:
-            yield frequent()
+            every = np.concatenate(sets)
+            which = every % np.uint64(COUNT_CLASSES)
+            for c in range(COUNT_CLASSES):
+                held[c].append(every[which == c])
+                sizes[c] += len(held[c][-1])
+                if sizes[c] >= COUNT_WINDOW:
+                    yield frequent(c)
+        for c in range(COUNT_CLASSES):
+            if sizes[c]:
+                yield frequent(c)
 
     return picked.mapInArrow(run, f"{kinds}fp long, n long, token long, seen long")
 
@@ -143,9 +147,11 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, p
 def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of sets with enough shared prefix shingles, and stars over those shingles that many sets share.
     Whatever two sets are linked, the edges connect them."""
-    once = rows.groupBy("token", "fp").agg(F.min("n").alias("n"), F.min("need").alias("need"))
-    sizes = once.groupBy("token").agg(F.count("*").alias("size"), F.min("fp").alias("lead")).where("size > 1")
-    shared = written(once.join(sizes, "token"), "shared")
+    several = rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("token", "lead")
+    # what is left is small; only here the copies of a set that other tasks emitted go, and sets are counted
+    raw = written(rows.join(several, "token"), "raw").dropDuplicates(["token", "fp"])
+    sizes = raw.groupBy("token").agg(F.count("*").alias("size"))
+    shared = written(raw.join(sizes, "token"), "shared")
     stars = shared.where(F.col("size") > PAIRS_UP_TO).where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
     few = shared.where(F.col("size") <= PAIRS_UP_TO)
     members = F.array_sort(F.collect_list(F.struct("fp", "n", "need")))  # PAIRS_UP_TO at most
@@ -272,10 +278,26 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, doc_col: str, text_col: st
     return rows.mapInArrow(run, "fp long, tokens binary")
 
 
+def _by_length(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` with the labels of large groups replaced: sets can only link if their sizes lie in the same class of sizes
+    or in neighbouring ones, so that a large group falls into groups of two neighbouring classes, each set in two."""
+    large = sets.groupBy("label").agg(F.sum(F.octet_length("tokens")).alias("size")).where(F.col("size") > TILE_BYTES).select("label")
+    large = written(large, "large")
+    few = large.count()
+    if not few:
+        return sets
+    hint = lambda df: F.broadcast(df) if few <= 100_000 else df
+    size_class = F.floor(F.log(F.octet_length("tokens") / 8) / np.log(100 / percent) / 1.0001)
+    split = sets.join(hint(large), "label", "left_semi").withColumn("__j", F.explode(F.array(size_class - 1, size_class)))
+    split = split.select("fp", F.xxhash64("label", "__j").alias("label"), "tokens")
+    return written(sets.join(hint(large), "label", "left_anti").select("fp", "label", "tokens").unionByName(split), "split")
+
+
 def _links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect all that is linked. ``sets``: fp, label, tokens; a label's links stay inside it."""
+    sets = _by_length(sets, percent)
     bytes_of = sets.groupBy("label").agg(F.sum(F.octet_length("tokens")).alias("size"))
-    blocks = written(bytes_of.select("label", F.ceil(F.col("size") / TILE_BYTES).cast("int").alias("nb")).where("nb > 1"), "large")
+    blocks = written(bytes_of.select("label", F.ceil(F.col("size") / TILE_BYTES).cast("int").alias("nb")).where("nb > 1"), "blocks")
     tile = lambda *c: F.xxhash64(*c)
     few = blocks.count()
     if not few:
@@ -286,8 +308,8 @@ def _links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     # first a few central sets of each large group against all its blocks ...
     degree = edges.select(F.col("b").alias("fp")).unionByName(edges.select(F.col("a").alias("fp"))).groupBy("fp").agg(F.count("*").alias("d"))
     known = large.select("fp", "label").join(degree, "fp")
-    centres = known.groupBy("label").agg(F.array_distinct(F.array(F.max_by("fp", "d"), F.min("fp"))).alias("c")).select(F.explode("c").alias("fp"))
-    as_query = large.join(centres, "fp", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    centres = known.groupBy("label").agg(F.array_distinct(F.array(F.max_by("fp", "d"), F.min("fp"))).alias("c")).select("label", F.explode("c").alias("fp"))
+    as_query = large.join(centres, ["label", "fp"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     shape = lambda df, q, *c: df.select(tile(*c).alias("tile"), "fp", F.lit(q).alias("query"), "tokens")
     star = written(tile_links(shape(large, False, "label", "block").unionByName(shape(as_query, True, "label", "block")), percent), "star")
     # ... then the sets outside the largest component of their group against all blocks
@@ -296,7 +318,7 @@ def _links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     biggest = member.groupBy("label", "part").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("part", "n").alias("main"))
     open_ = member.join(biggest, "label").where("part <> main")
     many = open_.groupBy("label").agg(F.ceil(F.sum("size") / TILE_BYTES).cast("int").alias("nq"))
-    asked = large.join(open_.select("fp"), "fp", "left_semi").join(many, "label")
+    asked = large.join(open_.select("label", "fp"), ["label", "fp"], "left_semi").join(many, "label")
     asked = asked.select("*", F.pmod(F.xxhash64(F.lit("q"), "fp"), F.col("nq")).cast("int").alias("q")).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     others = large.join(many, "label").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     rest = tile_links(shape(others, False, "label", "q", "block").unionByName(shape(asked, True, "label", "q", "block")), percent)

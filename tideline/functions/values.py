@@ -96,6 +96,22 @@ def window_leaves(start: Column, end: Column, min_minutes: int = 15) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(at(i).alias("start"), F.when(i == n - 1, end).otherwise(at(i + 1)).alias("end")))
 
 
+def backoff_seconds(attempt: int, first: float, most: float) -> float:
+    """Seconds to wait before retry ``attempt`` (from 0): doubled each time, at most ``most``."""
+    return min(first * 2**attempt, most)
+
+
+def plan_windows(start: datetime, end: datetime, full, min_minutes: int = 15) -> list[tuple[datetime, datetime, str]]:
+    """The windows that a collector ends with: those for which ``full(start, end)`` is true are split as far as it goes;
+    (start, end, completed, split or saturated) in the order of visits."""
+    if not full(start, end):
+        return [(start, end, "completed")]
+    parts = split_window(start, end, min_minutes)
+    if parts is None:
+        return [(start, end, "saturated")]
+    return [(start, end, "split"), *(w for p in parts for w in plan_windows(*p, full, min_minutes))]
+
+
 def build_query(keywords: Sequence[str], domain: str, language: str = "english") -> str:
     """A search query of literal phrases: (a OR "b c") domain:d sourcelang:l. Operators, quotes and controls inside a
     keyword are an error, so that data can't change the query."""

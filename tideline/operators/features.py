@@ -87,3 +87,20 @@ def reconcile(left: DataFrame, right: DataFrame, on: str, columns: Sequence[str]
     has_a, has_b = F.col(f"a.{on}").isNotNull(), F.col(f"b.{on}").isNotNull()
     return both.agg(F.count_if(has_a & has_b).alias("matched"), F.count_if(has_a & ~has_b).alias("left_only"), F.count_if(~has_a & has_b).alias("right_only"),
                     *(F.count_if(has_a & has_b & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"differ_{c}") for c in columns))
+
+
+def modeling_table(prices: DataFrame, text: DataFrame, date_col: str = "date", suffix: str = "_nlp") -> DataFrame:
+    """Price rows with the text features of their date (0 without any). Columns that both have keep the price side's
+    name, the text side's gets the suffix. Null features of rows past the warm-up are an error of the caller's windows,
+    which splits.leakage_checks tells."""
+    named = text.select(F.col(date_col).alias("__d"), *(F.col(c).alias(c + suffix if c in prices.columns else c) for c in text.columns if c != date_col))
+    added = [c for c in named.columns if c != "__d"]
+    return prices.join(named, prices[date_col] == named["__d"], "left").drop("__d").na.fill(0, added)
+
+
+def article_features(rows: DataFrame, lexicon: DataFrame, key: str, title_col: str, prefixes: Sequence[str] = (), negators: Sequence[str] = ("NO", "NOT", "NEVER", "NONE", "WITHOUT")) -> DataFrame:
+    """Rows with normalized_title (clean, prefixes stripped; empty rather than null) and the tone of it."""
+    from tideline.functions.text import clean_title, strip_prefixes
+
+    titled = rows.withColumn("normalized_title", strip_prefixes(clean_title(F.col(title_col)), prefixes))
+    return titled.join(tone(titled, lexicon, key, F.col("normalized_title"), negators), key, "left")

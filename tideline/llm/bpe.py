@@ -23,7 +23,7 @@ from .common import cols, ddl, table, text_chunks
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct words that a worker keeps with their ids; beyond, it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:

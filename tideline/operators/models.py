@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import tokens
 
+#: Terms up to which the components come from the Gram matrix (8 bytes a pair of terms on the driver).
+GRAM_TERMS = 4000
 #: The grid.
 GRID = {"C": (0.01, 0.1, 1.0, 10.0), "penalty": ("l1", "l2"), "class_weight": (None, "balanced")}
 
@@ -52,7 +54,13 @@ def truncated_svd(weights: DataFrame, key: str, k: int, size: int, fit: DataFram
     n = used.count()
     k = max(1, min(k, size - 1, n - 1))
     vectors = used.select("e").rdd.map(lambda r: Vectors.sparse(size, [x.idx for x in r.e], [x.weight for x in r.e]))
-    v = RowMatrix(vectors, n, size).computeSVD(k).V.toArray().T
+    matrix = RowMatrix(vectors, n, size)
+    if size <= GRAM_TERMS:  # one pass for the Gram matrix, its eigenvectors on the driver
+        v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, ::-1][:, :k].T
+    else:
+        vectors.cache()  # the iterative solver goes over the rows again and again
+        v = matrix.computeSVD(k).V.toArray().T
+        vectors.unpersist()
     v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
     if not np.isfinite(v).all():
         raise ValueError("the components aren't finite")

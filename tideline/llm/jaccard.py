@@ -350,7 +350,7 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_col: str = "
         order = np.argsort(token)
         frequent = token[order], picked.column("seen").to_numpy().astype(np.float64)[order]
     rows = desc.where("n is not null")
-    nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     heads = written(prefixes(docs, frequent, k, percent, text_col), "prefixes")
     edges = written(candidate_edges(heads, percent), "edges")
     groups = written(components(edges).withColumnRenamed("node", "fp").join(nodes, "fp"), "groups")
@@ -359,7 +359,8 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_col: str = "
     linked = components(written(_links(sets, edges, percent), "links")).withColumnRenamed("node", "fp")
     named = written(linked.join(groups.select("fp", "rep"), "fp"), "linked")
     classes = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "component_id")
-    known = nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table, so that the join below has a plain shuffle on either side and Spark can split a set that many rows share
+    known = written(nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "known")
     return rows.join(known, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

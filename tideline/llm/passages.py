@@ -255,17 +255,18 @@ def repeated_passages(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     space, A-Z counting as a-z. Null, empty and shorter texts have no passages. A null doc_id is kept in its rows."""
     every = written(windows(docs, text_col, doc_col), "windows")
     known = every.where("n is not null")
-    nodes = known.where(F.col("fp").isNotNull() & (F.col("n") >= LEAST_WORDS)).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").cast("int").alias("n"))
+    nodes = written(known.where(F.col("fp").isNotNull() & (F.col("n") >= LEAST_WORDS)).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").cast("int").alias("n")), "nodes")
     rows = every.where("key is not null").select("key", "fp", "c", "reach", "which")
     sizes = rows.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").drop("last")
     shared = written(rows.join(sizes, "key"), "shared")
-    centres = shared.where("fp = lead").groupBy("key").agg(F.min_by("c", "c").alias("lc"), F.min_by("reach", "c").alias("lreach"))
+    # a table, so that the join has a plain shuffle on either side and Spark can split a shingle that many sequences share
+    centres = written(shared.where("fp = lead").groupBy("key").agg(F.min("c").alias("lc"), F.min_by("reach", "c").alias("lreach")), "centres")
     match = F.struct("c", "reach", F.col("lc").alias("k"), F.col("lreach").alias("s"), F.col("which").alias("f"))
     pairs = shared.where("fp <> lead").join(centres, "key").groupBy("fp", "lead").agg(F.collect_set(match).alias("matches"), F.count_distinct("which").alias("agree")).where(F.col("agree") >= ENOUGH).drop("agree")
     pairs = written(pairs, "pairs")
     involved = pairs.select("fp").unionByName(pairs.select(F.col("lead").alias("fp"))).distinct()
     # keys of three sequences or more may hold passages that the centre lacks
-    more = shared.where("fp <> lead").groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key")
+    more = written(shared.where("fp <> lead").groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key"), "more")
     open_rows = shared.where("fp <> lead").join(more, "key", "left_semi").select("fp", "c").distinct()
     wanted = nodes.join(involved.unionByName(open_rows.select("fp")).distinct(), "fp", "left_semi").select("rep")
     seqs = written(_sequences(docs, wanted, doc_col, text_col), "sequences")
@@ -275,7 +276,7 @@ def repeated_passages(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     left = open_rows.join(covered, (F.col("fp") == F.col("__fp")) & (F.col("s") <= F.col("c")) & (F.col("c") + SHINGLE <= F.col("e")), "left_anti")
     left = left.groupBy("fp").agg(F.collect_set("c").alias("cs")).join(seqs, "fp")
     blocks = written(_blocks(left), "blocks")
-    heads = blocks.groupBy("block").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"), F.min_by("s", "fp").alias("ls")).where("lead <> last").drop("last")
+    heads = written(blocks.groupBy("block").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"), F.min_by("s", "fp").alias("ls")).where("lead <> last").drop("last"), "heads")
     exact = _joined_blocks(blocks.join(heads, "block").where("fp <> lead").select("fp", "s", "lead", "ls"))
     found = written(found.unionByName(exact), "passages")
     # the representatives' side, once per distinct passage

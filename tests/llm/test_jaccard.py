@@ -106,6 +106,21 @@ def test_repeated_passages(spark):
         assert len(a) >= 50 and len(b) >= 50 and len(x & y) >= 0.8 * len(x | y)
 
 
+def test_edited_passages_beside_a_third_document(spark):
+    rng = random.Random(8)
+    text = lambda n: ["v" + str(rng.randint(0, 10_000_000)) for _ in range(n)]
+    docs, line = [], text(30)
+    for k in range(60):
+        one = text(60) if k % 3 else line + text(30)
+        two = list(one)
+        two[30 + k % 20 : 31 + k % 20] = text(1 + (k % 3 == 2))  # a word is another one, or two
+        docs += [text(100) + one + text(40), text(70) + two + text(60), text(50) + one[: 30 + 10 * (k % 3 > 0)] + text(50)]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    spans = {i: [(r.start_word, r.end_word) for r in got if r.doc_id == i] for i in range(len(docs))}
+    for i in range(0, len(docs), 3):
+        assert any(s <= 105 and e >= 155 for s, e in spans[i]) and any(s <= 75 and e >= 125 for s, e in spans[i + 1]) and not spans[i + 2]
+
+
 def test_no_passages(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(1, "ab " * 500), (2, "cd " * 500)], "doc_id long, text string")

@@ -7,17 +7,18 @@ the one with the smallest fingerprint is the centre of a star, so that rows stay
 agree for a pair, with intervals that overlap on both sides, the words decide: exact runs around the minima are chained
 over small edits, and a passage stands if it is long and similar enough.
 
-What a star leaves open (members that don't share a passage with its centre, but may with each other) is settled by exact
-blocks: every block of the minimum length around the open minima is hashed, and equal blocks are passages.
+A star loses passages that its centre lacks. So all spans of the minimum length around all minima meet by the words at their
+two ends, whatever an edit has made of those between, and where no passage with a centre covers a minimum, so do longer
+spans, for words that came or went. The words decide again; what a span's centre leaves open meets the next centre.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
@@ -29,7 +30,11 @@ LEAST_WORDS, HASHES, ENOUGH = 50, 3, 2
 SIMILARITY = 0.8
 #: Words that an edit inside a passage may span, and words of the shortest exact run that counts.
 GAP, RUN = 10, 8
+#: Words of an exact run that every passage holds: one edit in the middle of the shortest leaves as many on one side, and
+#: more edits need a longer passage. Rounds of centres before all pairs that are open meet.
+CORE, ROUNDS = 24, 3
 _LEVELS = 10
+_FLUSH = 500_000
 _REACH = (1 << 16) - 1
 
 
@@ -142,11 +147,11 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int, int, int, int]], known: Iterable[int] = ()) -> list[tuple[int, int, int, int, float]]:
     """Passages (begin, end in x, begin, end in y, similarity), in words, given the matches (c in x, reach, c in y, reach,
-    hash function) of windows with the same minimum."""
+    hash function) of windows with the same minimum, and known diagonals."""
     spans = [(c - (r >> 16), c + (r & _REACH), k - (s >> 16), k + (s & _REACH), f, c, k) for c, r, k, s, f in matches]
-    diagonals = set()
+    diagonals = set(known)
     for a in spans:  # the interval join: enough hash functions whose windows overlap this one in both documents
         meets = {b[4] for b in spans if b[0] <= a[1] and a[0] <= b[1] and b[2] <= a[3] and a[2] <= b[3]}
         if len(meets) >= ENOUGH:
@@ -197,51 +202,111 @@ _FOUND = "fp long, s int, e int, lead long, ls int, le int, similarity double"
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """_FOUND rows of pairs (fp, lead, x, y, matches)."""
+    """_FOUND rows of pairs (fp, lead, x, y, matches, diagonals), of which one is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for fp, lead, x, y, matches in zip(*(c for c in batch.columns), strict=True):
-                m = [tuple(v.values()) for v in matches.as_py()]
-                found = shared_passages(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), m)
+            for fp, lead, x, y, matches, diagonals in zip(*(c for c in batch.columns), strict=True):
+                m = [tuple(v.values()) for v in matches.as_py() or ()]
+                found = shared_passages(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), m, diagonals.as_py() or ())
                 out += [(fp.as_py(), s, e, lead.as_py(), t, u, sim) for s, e, t, u, sim in found]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["fp", "s", "e", "lead", "ls", "le", "similarity"])
 
-    return pairs.select("fp", "lead", "x", "y", "matches").mapInArrow(run, _FOUND)
+    return pairs.select("fp", "lead", "x", "y", "matches", "diagonals").mapInArrow(run, _FOUND)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(block, fp, s) for every block of LEAST_WORDS words around the open minima of (fp, words, cs)."""
+def _cores(rows: DataFrame) -> DataFrame:
+    """(core, fp, c) for every exact run of CORE words that holds an open minimum of (fp, words, cs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, fps, at = [], [], []
-            for fp, words, cs in zip(*batch.columns, strict=True):
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for k, (fp, words, cs) in enumerate(zip(*batch.columns, strict=True)):
                 w = np.frombuffer(words.as_py(), np.uint32).astype(np.uint64)
                 c = np.unique(np.array(cs.as_py(), np.int64))
-                s = np.unique(np.concatenate([np.arange(max(0, k + SHINGLE - LEAST_WORDS), min(k, len(w) - LEAST_WORDS) + 1) for k in c]))
-                if len(s):
-                    whole = shingle_hashes(w, LEAST_WORDS)
-                    blocks.append(whole[s])
-                    at.append(s)
-                    fps.append(np.full(len(s), fp.as_py(), np.int64))
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(at).astype(np.int32))], names=["block", "fp", "s"])
+                s = c[:, None] + SHINGLE - CORE + np.arange(CORE - SHINGLE + 1)
+                at, good = np.broadcast_to(c[:, None], s.shape), (s >= 0) & (s <= len(w) - CORE)
+                out.append((shingle_hashes(w, CORE)[s[good]], np.full(int(good.sum()), fp.as_py(), np.int64), at[good]))
+                if sum(len(x[0]) for x in out) > _FLUSH or k == batch.num_rows - 1:
+                    core, fps, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(fps), pa.array(at.astype(np.int32))], names=["core", "fp", "c"])
+                    out = []
 
-    return rows.select("fp", "words", "cs").mapInArrow(run, "block long, fp long, s int")
+    return rows.select("fp", "words", "cs").mapInArrow(run, "core long, fp long, c int")
 
 
-def _joined_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks (fp, s, lead, ls) on one diagonal of a pair that overlap or touch, as passages."""
-    from pyspark.sql import Window
+def _spans(rows: DataFrame) -> DataFrame:
+    """(span, fp, s, t, open) for every span of LEAST_WORDS words around the minima of (fp, words, cs, wide, held), and for
+    those of up to GAP words more around the minima in ``wide``: span stands for the RUN words at either end, that begin at s
+    and t; open are those that no passage in ``held`` covers."""
 
-    w = Window.partitionBy("fp", "lead", F.col("s") - F.col("ls")).orderBy("s")
-    new = (F.col("s") > F.lag("s").over(w) + LEAST_WORDS).cast("int")
-    staged = rows.withColumn("g", F.coalesce(new, F.lit(0))).withColumn("g", F.sum("g").over(w)).withColumn("d", F.col("s") - F.col("ls"))
-    whole = staged.groupBy("fp", "lead", "d", "g").agg(F.min("s").alias("s"), (F.max("s") + LEAST_WORDS).alias("e"))
-    return whole.select("fp", "s", "e", "lead", (F.col("s") - F.col("d")).alias("ls"), (F.col("e") - F.col("d")).alias("le"), F.lit(1.0).alias("similarity"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for k, (fp, words, cs, wide, held) in enumerate(zip(*batch.columns, strict=True)):
+                w = np.frombuffer(words.as_py(), np.uint32).astype(np.uint64)
+                ends = shingle_hashes(w, RUN)
+                begins, stops = np.array(sorted((x["s"], x["e"]) for x in held.as_py() or []) or [], np.int64).reshape(-1, 2).T
+                begins, stops = np.append(-1, begins), np.maximum.accumulate(np.append(-1, stops))
+                for more in range(GAP + 1):
+                    c = np.unique(np.array((wide.as_py() if more else cs.as_py()) or [], np.int64))
+                    size = LEAST_WORDS + more
+                    s = np.unique(c[:, None] + SHINGLE - size + np.arange(size - SHINGLE + 1))
+                    s = s[(s >= 0) & (s <= len(w) - size)]
+                    t = s + size - RUN
+                    out.append((mix(ends[s] ^ mix(ends[t] + np.uint64(1))), np.full(len(s), fp.as_py(), np.int64), s, t, stops[np.searchsorted(begins, s, side="right") - 1] < t + RUN))
+                if sum(len(x[0]) for x in out) > _FLUSH or k == batch.num_rows - 1:
+                    span, fps, s, t, free = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(span.view(np.int64)), pa.array(fps), pa.array(s.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(free)], names=["span", "fp", "s", "t", "open"])
+                    out = []
+
+    return rows.select("fp", "words", "cs", "wide", "held").mapInArrow(run, "span long, fp long, s int, t int, open boolean")
+
+
+def _met(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows whose key more than one sequence has, and an open row if rows tell."""
+    w = Window.partitionBy(key)  # one shuffle of the rows, where a join would take two
+    told = rows.withColumns({"__a": F.min("fp").over(w), "__b": F.max("fp").over(w), "__o": F.max("open").over(w) if "open" in rows.columns else F.lit(True)})
+    return written(told.where("__a <> __b and __o").drop("__a", "__b", "__o"), name)
+
+
+def _swapped(found: DataFrame) -> DataFrame:
+    """_FOUND rows from the other side."""
+    return found.select(F.col("lead").alias("fp"), F.col("ls").alias("s"), F.col("le").alias("e"), F.col("fp").alias("lead"), F.col("s").alias("ls"), F.col("e").alias("le"), "similarity")
+
+
+def _uncovered(rows: DataFrame, held: DataFrame, begin: str, end: str) -> DataFrame:
+    """The rows whose words from ``begin`` to ``end`` no passage in ``held`` (fp, s, e) covers."""
+    covered = held.select(F.col("fp").alias("__fp"), F.col("s").alias("__s"), F.col("e").alias("__e"))
+    return rows.join(covered, (F.col("fp") == F.col("__fp")) & (F.col("__s") <= F.expr(begin)) & (F.expr(end) <= F.col("__e")), "left_anti")
+
+
+def _settled(spans: DataFrame, seqs: DataFrame) -> DataFrame:
+    """_FOUND rows of the sequences that meet by spans, one of them open. Of all with a span the one with the smallest
+    fingerprint is the centre; what the passages with it leave open meets the next one, ROUNDS times, and then all."""
+    left, done = _met(spans, "spans", "span"), None
+    for k in range(ROUNDS + 1):
+        head = F.struct("fp", "s", "t", "open")
+        heads = left.groupBy("span").agg(F.min(head).alias("h")) if k < ROUNDS else left.select("span", head.alias("h"))
+        heads = written(heads.select("span", F.col("h.fp").alias("lead"), F.col("h.s").alias("ls"), F.col("h.t").alias("lt"), F.col("h.open").alias("lopen")), f"heads{k}")
+        met = left.join(heads, "span").where("lead < fp and (open or lopen)")
+        diagonals = F.array_distinct(F.flatten(F.collect_set(F.array(F.col("s") - F.col("ls"), F.col("t") - F.col("lt")))))
+        pairs = met.groupBy("fp", "lead").agg(diagonals.alias("diagonals"))
+        sides = pairs.join(seqs.withColumnRenamed("words", "x"), "fp").join(seqs.select(F.col("fp").alias("lead"), F.col("words").alias("y")), "lead")
+        new = written(_verified(sides.withColumn("matches", F.lit(None))), f"settled{k}")
+        done = new if done is None else done.unionByName(new)
+        if k == ROUNDS:
+            break
+        # the centre has met all others by this span
+        rest = written(left.join(heads.select("span", "lead"), "span").where("fp <> lead").select(*left.columns), f"rest{k}")
+        still = _uncovered(rest.where("open"), new.unionByName(_swapped(new)), "s", f"t + {RUN}")
+        rest = still.unionByName(rest.withColumn("open", F.lit(False))).groupBy("span", "fp", "s", "t").agg(F.max("open").alias("open"))
+        left = _met(rest, f"left{k}", "span")
+        if not left.limit(1).count():
+            break
+    return done.distinct()
 
 
 def repeated_passages(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,21 +329,22 @@ def repeated_passages(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     match = F.struct("c", "reach", F.col("lc").alias("k"), F.col("lreach").alias("s"), F.col("which").alias("f"))
     pairs = shared.where("fp <> lead").join(centres, "key").groupBy("fp", "lead").agg(F.collect_set(match).alias("matches"), F.count_distinct("which").alias("agree")).where(F.col("agree") >= ENOUGH).drop("agree")
     pairs = written(pairs, "pairs")
-    involved = pairs.select("fp").unionByName(pairs.select(F.col("lead").alias("fp"))).distinct()
-    # keys of three sequences or more may hold passages that the centre lacks
-    more = written(shared.where("fp <> lead").groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key"), "more")
-    open_rows = shared.where("fp <> lead").join(more, "key", "left_semi").select("fp", "c").distinct()
-    wanted = nodes.join(involved.unionByName(open_rows.select("fp")).distinct(), "fp", "left_semi").select("rep")
+    minima = shared.select("fp", "c").distinct()
+    wanted = nodes.join(minima.select("fp").distinct(), "fp", "left_semi").select("rep")
     seqs = written(_sequences(docs, wanted, doc_col, text_col), "sequences")
     sides = pairs.join(seqs.withColumnRenamed("words", "x"), "fp").join(seqs.select(F.col("fp").alias("lead"), F.col("words").alias("y")), "lead")
-    found = written(_verified(sides), "verified")
-    covered = found.select(F.col("fp").alias("__fp"), "s", "e")
-    left = open_rows.join(covered, (F.col("fp") == F.col("__fp")) & (F.col("s") <= F.col("c")) & (F.col("c") + SHINGLE <= F.col("e")), "left_anti")
-    left = left.groupBy("fp").agg(F.collect_set("c").alias("cs")).join(seqs, "fp")
-    blocks = written(_blocks(left), "blocks")
-    heads = written(blocks.groupBy("block").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"), F.min_by("s", "fp").alias("ls")).where("lead <> last").drop("last"), "heads")
-    exact = _joined_blocks(blocks.join(heads, "block").where("fp <> lead").select("fp", "s", "lead", "ls"))
-    found = written(found.unionByName(exact), "passages")
+    found = written(_verified(sides.withColumn("diagonals", F.lit(None))), "verified")
+    # minima that no passage with a centre covers: words may have come or gone there against another sequence
+    held = found.unionByName(_swapped(found))
+    left = _uncovered(minima, held, "c", f"c + {SHINGLE}")
+    cores = _cores(left.groupBy("fp").agg(F.collect_set("c").alias("cs")).join(seqs, "fp"))
+    wide = _met(cores, "cores", "core").groupBy("fp").agg(F.collect_set("c").alias("wide"))
+    spread = held.groupBy("fp").agg(F.collect_set(F.struct("s", "e")).alias("held"))
+    around = minima.groupBy("fp").agg(F.collect_set("c").alias("cs")).join(wide, "fp", "left").join(spread, "fp", "left").join(seqs, "fp")
+    more = written(_settled(_spans(around), seqs), "more")
+    # not again what both documents have already
+    more = _uncovered(more, held, "s", "e").unionByName(_swapped(_uncovered(_swapped(more), held, "s", "e"))).distinct()
+    found = written(found.unionByName(more), "passages")
     # the representatives' side, once per distinct passage
     mirrored = found.groupBy(F.col("lead").alias("fp"), F.col("ls").alias("s"), F.col("le").alias("e")).agg(F.min("fp").alias("lead"), F.min_by(F.struct("s", "e", "similarity"), "fp").alias("o"))
     mirrored = mirrored.select("fp", "s", "e", "lead", F.col("o.s").alias("ls"), F.col("o.e").alias("le"), F.col("o.similarity").alias("similarity"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import calendar as cal
 from tideline.operators import dedup, envelopes, features, models, sampling, splits, stats, taxonomy
+from tideline.plans import prices
 
 D = date.fromisoformat
 
@@ -174,3 +175,11 @@ def test_splits_are_disjoint_and_purged(spark):
     rows = spark.range(100).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (F.col("id") % 2).cast("int").alias("y"))
     got = {r.split: r.n for r in splits.split_summary(splits.split_rows(rows)).collect()}
     assert got == {"train": 69, "validation": 14, "test": 15, "purged": 2}
+
+
+def test_walk_forward_predicts_every_month(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(prices.models, "walk_forward", lambda rows, columns, params, name, months: asked.extend(months))
+    prices.walk_forward(spark, "/root/testdata/sf0.001")
+    months = prices.walk_forward_months(spark, "/root/testdata/sf0.001").count()
+    assert len(asked) == len(set(asked)) == months > 3

@@ -170,11 +170,15 @@ def coefficients(fitted, columns: Sequence[str]) -> dict[str, float]:
 
 def walk_forward(rows: DataFrame, columns: Sequence[str], params: dict, name: str, months: Sequence[str], date_col: str = "date", target: str = "y") -> DataFrame:
     """(month, model_id, n_days, accuracy): each month predicted by a model fitted on all rows before it."""
-    out = None
+    spark, kind = rows.sparkSession, "month string, model_id string, n_days long, accuracy double"
+    rows = rows.select(date_col, target, *columns).coalesce(1).cache()  # a calendar, gone over for every month
+    out = []
     for month in months:
         start = F.lit(month).cast("date")
         fitted = fit_logistic(rows.where(F.col(date_col) < start), columns, target=target, **params)
         held = predict_logistic(rows.where(F.trunc(date_col, "MM") == start), fitted, columns, name)
-        row = held.groupBy(F.date_format(F.trunc(date_col, "MM"), "yyyy-MM").alias("month")).agg(F.lit(name).alias("model_id"), F.count("*").alias("n_days"), F.avg((F.col(f"{name}_pred") == F.col(target)).cast("double")).alias("accuracy"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        row = held.agg(F.count("*"), F.avg((F.col(f"{name}_pred") == F.col(target)).cast("double"))).head()
+        if row[0]:
+            out.append((month[:7], name, *row))
+    rows.unpersist()
+    return spark.createDataFrame(out, kind)

@@ -183,3 +183,8 @@ def test_walk_forward_predicts_every_month(spark, monkeypatch):
     prices.walk_forward(spark, "/root/testdata/sf0.001")
     months = prices.walk_forward_months(spark, "/root/testdata/sf0.001").count()
     assert len(asked) == len(set(asked)) == months > 3
+
+
+def test_logistic_grid_is_whole(spark):
+    got = {(r.C, r.penalty, r.class_weight) for r in prices.logistic_grid(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 16 and {r[1] for r in got} == {"l1", "l2"} and {r[0] for r in got} == {0.01, 0.1, 1.0, 10.0}

@@ -77,6 +77,13 @@ def test_drop_copies(spark):
     assert jaccard.near_copies(docs.limit(0)).count() == 0
 
 
+def test_drop_copies_without_or_with_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(5, text("a")), (None, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("c") + " more"), (8, text("d")), (8, text("a")), (None, ""), (None, None), (9, text("e"))]
+    kept = jaccard.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept) == [(0, ""), (0, ""), (0, "b"), (5, "a"), (7, "c"), (8, "d"), (9, "e")]
+
+
 def passage_docs():
     rng = random.Random(3)
     word = lambda: "v" + str(rng.randint(0, 100_000))

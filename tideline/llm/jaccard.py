@@ -333,6 +333,11 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_col: str = "
     links reach, itself included). Words are cut at white space, A-Z counting as a-z; a text of fewer than ``k`` words
     has one shingle, all its words; a text without words, or null, has none and is a class of its own. Equal sets are
     always linked. A null doc_id takes part in links but never names a class, unless all ids of a class are null."""
+    return _classed(docs, k, percent, doc_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame, k: int, percent: int, doc_col: str, text_col: str) -> DataFrame:
+    """near_copies, and with each row fp (of its set) and label (of its class), null for texts without words."""
     desc = written(described(docs, k, text_col, (doc_col,)).withColumnRenamed(doc_col, "doc_id"), "described")
     seen = desc.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     seen = written(seen, "seen")
@@ -358,22 +363,36 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_col: str = "
     sets = written(found.join(groups.select("fp", "label"), "fp"), "sets")
     linked = components(written(_links(sets, edges, percent), "links")).withColumnRenamed("node", "fp")
     named = written(linked.join(groups.select("fp", "rep"), "fp"), "linked")
-    classes = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "component_id")
+    classes = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id")
     # a table, so that the join below has a plain shuffle on either side and Spark can split a set that many rows share
-    known = written(nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "known")
-    return rows.join(known, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = written(nodes.join(classes, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id")), "known")
+    return rows.join(known, "fp", "left").select("doc_id", "fp", "label", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near_copies, that of the smallest id; columns as they are. Rows with null
-    ids go only if their class has another; of rows that share the kept id one stays, if their texts are equal."""
-    found = written(near_copies(docs, k, percent, doc_col, text_col), "classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    ids go if their class has another; of rows that share the kept id one stays. Texts without words stay."""
+    found = written(_classed(docs, k, percent, doc_col, text_col), "classes")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     few = gone.count()
     gone = F.broadcast(gone) if few <= 1_000_000 else gone
     kept = docs.join(gone, docs[doc_col] == gone["__gone"], "left_anti")
-    twice = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([doc_col, text_col]) if twice else kept
+    twice = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
+    many = twice.count()
+    if not many and not found.where("doc_id is null and fp is not null").limit(1).count():
+        return kept
+    # ids don't tell rows without one, or with a repeated one, apart: their sets do
+    hint = F.broadcast(twice) if many <= 1_000_000 else twice
+    kept = kept.join(hint, kept[doc_col] == hint["__twice"], "left_anti").where(kept[doc_col].isNotNull())
+    rest = docs.where(docs[doc_col].isNull()).unionByName(docs.join(hint, docs[doc_col] == hint["__twice"], "left_semi"))
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(doc_col)], names[docs.columns.index(text_col)]
+    rest = described(rest.toDF(*names), k, text, tuple(names)).where("n is not null")
+    chosen = found.where("fp is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "fp")).alias("x"))
+    chosen = chosen.select(F.col("x.id").alias("__id"), F.col("x.fp").alias("__fp"))
+    one = rest.join(chosen, rest["fp"].eqNullSafe(chosen["__fp"]) & rest[key].eqNullSafe(chosen["__id"]), "left_semi").dropDuplicates([key, "fp"])
+    back = one.unionByName(rest.where("fp is null")).select(*names).toDF(*docs.columns)
+    return kept.unionByName(back)
 
 
 def op9_adaptive_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

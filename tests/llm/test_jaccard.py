@@ -128,6 +128,20 @@ def test_edited_passages_beside_a_third_document(spark):
         assert any(s <= 105 and e >= 155 for s, e in spans[i]) and any(s <= 75 and e >= 125 for s, e in spans[i + 1]) and not spans[i + 2]
 
 
+def test_passage_goes_on_past_runs_on_other_diagonals():
+    import numpy as np
+
+    x = np.arange(61, dtype=np.uint32)
+    y = x.copy()
+    y[30] = 1000
+    parts, known = [y], [0]
+    for k, s in enumerate(range(18, 6, -2)):  # backwards, so that they make no chain
+        known.append(s - sum(map(len, parts)) - 1)
+        parts.append(np.concatenate([[2000 + k], x[s : s + 9]]).astype(np.uint32))
+    got = passages.shared_passages(x, np.concatenate(parts), [], known)
+    assert [g[:4] for g in got] == [(0, 61, 0, 61)]
+
+
 def test_no_passages(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(1, "ab " * 500), (2, "cd " * 500)], "doc_id long, text string")

@@ -158,9 +158,11 @@ def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int,
             diagonals.add(a[5] - a[6])
     runs = sorted({r for d in diagonals for r in _runs_on(x, y, d)})
     chains: list[list[tuple[int, int, int]]] = []
+    live: list[list[tuple[int, int, int]]] = []  # those that a run that begins here or later may go on
     for run in runs:
         s, e, t = run
-        for chain in reversed(chains[-4:]):
+        live = [chain for chain in live if s - chain[-1][1] <= GAP]
+        for chain in reversed(live):
             _, e0, t0 = chain[-1]
             f0 = t0 + (e0 - chain[-1][0])
             if -RUN < s - e0 <= GAP and -RUN < t - f0 <= GAP and e > e0:
@@ -168,6 +170,7 @@ def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int,
                 break
         else:
             chains.append([run])
+            live.append(chains[-1])
     out = []
     while chains:  # a chain that isn't similar enough falls apart at its widest edit
         chain = chains.pop()

@@ -35,8 +35,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, with their number and digest."""
-    return bpe.encode_texts(docs, bpe.vocabulary(), keep=("doc_id", "lang", "source"))
+    """The ids of each document, with their number and digest, and the digest of the text they decode to."""
+    return bpe.encode_texts(docs, bpe.vocabulary(), with_decoded=True, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [

@@ -35,3 +35,11 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_last_stage_decodes(spark):
+    import hashlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.bpe_encoding(spark, docs, SF).collect()}
+    assert got == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}

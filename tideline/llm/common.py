@@ -17,8 +17,10 @@ CHUNK_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``sf_dir``. Texts can be long: the session hands fewer rows at a time to Python
-    and reads fewer at a time than by default, so that a batch stays small in the JVM and in the worker."""
+    """The Parquet table ``name`` of whole texts below ``sf_dir``. Texts can be long: from here on the session hands fewer
+    rows at a time to Python and reads fewer at a time than by default, so that a batch stays small in the JVM and in the
+    worker. Spark reads both settings when a query runs, after this returns, so they can't be put back here; a caller
+    that minds sets its own values, smaller or larger, once the result is written."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.parquet.columnarReaderBatchSize", 1024)):
         if int(spark.conf.get(key)) > most:
             spark.conf.set(key, most)
@@ -26,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where none is set, a temporary one if the
+    session is local, so that all its threads see it, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -44,7 +49,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage is cut, and lost executors cost nothing of it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str, name: str, partitions: int) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by ``key`` into ``partitions`` buckets, or as many as shuffles have, if
+    those are more: a join by ``key`` reads it without a shuffle."""
+    spark = df.sparkSession
+    partitions = max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path, table_ = scratch_path(spark, name), f"tideline_{uuid.uuid4().hex}"
+    df.repartition(partitions, key).write.bucketBy(partitions, key).sortBy(key).option("path", path).saveAsTable(table_)
+    out = spark.table(table_)
+    out.scratch, out.table_name = path, table_
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` or ``bucketed`` made, and has the JVM tidy up, so that Spark removes the shuffles of
+    finished steps, too. Only for tables from which nothing is computed any more: whatever was made of them has been
+    written itself, so that no lost executor asks for them again."""
+    for df in tables:
+        spark = df.sparkSession
+        if hasattr(df, "table_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.table_name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 #: Ids that a join broadcasts, at most (16 bytes each as numbers); more are shuffled.

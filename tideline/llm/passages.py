@@ -7,9 +7,11 @@ the one with the smallest fingerprint is the centre of a star, so that rows stay
 agree for a pair, with intervals that overlap on both sides, the words decide: exact runs around the minima are chained
 over small edits, and a passage stands if it is long and similar enough.
 
-A star loses passages that its centre lacks. So all spans of the minimum length around all minima meet by the words at their
-two ends, whatever an edit has made of those between, and where no passage with a centre covers a minimum, so do longer
-spans, for words that came or went. The words decide again; what a span's centre leaves open meets the next centre.
+A star loses passages that its centre lacks. So spans around the shared minima meet, too, by the words at their two ends,
+whatever an edit has made of those between: all spans of the minimum length, and spans between anchors (least hashes of
+short runs) of any length about that, for words that came or went. What a passage with a centre explains exactly, the
+centre stands for. The words decide again; what a span's centre leaves open meets the next centre, and then those that
+agree with it in a hash of what is between the ends.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
+from .common import LOWER, NOT_SPACE, bucketed, discard, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
 from .jaccard import fingerprint
 
 SHINGLE = 5
@@ -30,12 +32,18 @@ LEAST_WORDS, HASHES, ENOUGH = 50, 3, 2
 SIMILARITY = 0.8
 #: Words that an edit inside a passage may span, and words of the shortest exact run that counts.
 GAP, RUN = 10, 8
-#: Words of an exact run that every passage holds: one edit in the middle of the shortest leaves as many on one side, and
-#: more edits need a longer passage. Rounds of centres before all pairs that are open meet.
-CORE, ROUNDS = 24, 3
+#: Runs of RUN words among which the one of least hash is an anchor, and words of the shortest span between two anchors: of
+#: LEAST_WORDS words with one word edited, the longer part holds two anchors as far apart. The longest span has GAP words
+#: more than LEAST_WORDS.
+ANCHORS, LEAST_SPAN = 8, 24
+#: Words of the exact runs that begin or end at a minimum by which spans are searched: of LEAST_SPAN exact words, all but
+#: one, any minimum has one of the two.
+GRAM = 14
+#: Bytes of word hashes in a bucket of sequences, about.
+BUCKET_BYTES = 32_000_000
 _LEVELS = 10
 _FLUSH = 500_000
-_REACH = (1 << 16) - 1
+_HALF = (1 << 31) - 1
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +125,7 @@ def windows(docs: DataFrame, text_col: str, doc_col: str) -> DataFrame:
                 h = mix(shingles ^ mix(np.array([f + 1], np.uint64)))
                 left, c, right = compact_windows(h, begin, end, LEAST_WORDS - SHINGLE + 1)
                 own = np.searchsorted(begin, c, side="right") - 1
-                reach = (np.minimum(c - left, _REACH) << 16) | np.minimum(right - c, _REACH)
+                reach = ((c - left) << 31) | (right - c)
                 k = len(c)
                 yield pa.RecordBatch.from_arrays([null(chunk.column(0).type, k), pa.array(fp[own]), null(pa.int64(), k), pa.array(h[c].view(np.int64)), pa.array((c - begin[own]).astype(np.int32)), pa.array(reach), pa.array(np.full(k, f, np.int32))], names=names)
 
@@ -141,22 +149,50 @@ def _runs_on(x: np.ndarray, y: np.ndarray, d: int) -> list[tuple[int, int, int]]
     return [(a + s, a + e, a + s - d) for s, e in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True) if e - s >= RUN]
 
 
-def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = np.unique(shingle_hashes(x.astype(np.uint64), SHINGLE)), np.unique(shingle_hashes(y.astype(np.uint64), SHINGLE))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of 64 bits for the runs of ``k`` words, given the words' hashes: cheap, to tell the runs of a pair apart."""
+    n = max(0, len(words) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += words[j : j + n]
+    return out
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of shingles."""
+    a, b = np.unique(a), np.unique(b)
+    both = np.unique(np.concatenate([a, b]))
+    return (len(a) + len(b) - len(both)) / max(1, len(both))
+
+
+def _agreeing(matches: list[tuple[int, int, int, int, int]]) -> set[int]:
+    """Diagonals of the matches that ENOUGH hash functions share: an interval join over cells. A window stands in for the
+    subsequences of about the minimum length at its minimum, so that two matches agree if their diagonals and their
+    minima are near each other and each minimum lies in the other window; cells of that size are looked up, linear in
+    the matches but for many in one cell."""
+    wide, drift = LEAST_WORDS, GAP + RUN
+    cells: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for c, r, k, s, f in matches:
+        cells.setdefault(((c - k) // drift, c // wide), []).append((f, c, max(c - (r >> 31), k - (s >> 31) + c - k), min(c + (r & _HALF), k + (s & _HALF) + c - k)))
+    out = set()
+    for c, _, k, _, f in matches:
+        i, j = (c - k) // drift, c // wide
+        which = {f}
+        for cell in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+            for g, _, low, high in cells.get(cell, ()):
+                if g not in which and low - drift <= c <= high + drift:
+                    which.add(g)
+                if len(which) >= ENOUGH:
+                    break
+            if len(which) >= ENOUGH:
+                out.add(c - k)
+                break
+    return out
 
 
-def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int, int, int, int]], known: Iterable[int] = ()) -> list[tuple[int, int, int, int, float]]:
-    """Passages (begin, end in x, begin, end in y, similarity), in words, given the matches (c in x, reach, c in y, reach,
-    hash function) of windows with the same minimum, and known diagonals."""
-    spans = [(c - (r >> 16), c + (r & _REACH), k - (s >> 16), k + (s & _REACH), f, c, k) for c, r, k, s, f in matches]
-    diagonals = set(known)
-    for a in spans:  # the interval join: enough hash functions whose windows overlap this one in both documents
-        meets = {b[4] for b in spans if b[0] <= a[1] and a[0] <= b[1] and b[2] <= a[3] and a[2] <= b[3]}
-        if len(meets) >= ENOUGH:
-            diagonals.add(a[5] - a[6])
-    runs = sorted({r for d in diagonals for r in _runs_on(x, y, d)})
+def _chained(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The runs, sorted, in chains over edits of up to GAP words."""
     chains: list[list[tuple[int, int, int]]] = []
     live: list[list[tuple[int, int, int]]] = []  # those that a run that begins here or later may go on
     for run in runs:
@@ -171,15 +207,46 @@ def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int,
         else:
             chains.append([run])
             live.append(chains[-1])
+    return chains
+
+
+def _beside(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]]) -> set[int]:
+    """Diagonals on which an equal run goes on beyond either end of a chain, after words that came or went; ``x`` and ``y``
+    are the runs of RUN words."""
+    out = set()
+    s, e, t, u = chain[0][0], chain[-1][1], chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0]
+    for a, b, c, d in ((e, e + GAP + 1, u, u + GAP + 1), (max(0, s - GAP - RUN), max(0, s - RUN + 1), max(0, t - GAP - RUN), max(0, t - RUN + 1))):
+        here, there = x[a:b], y[c:d]
+        i, j = np.nonzero(here[:, None] == there[None, :])
+        if len(i):
+            out.update((i + a - j - c).tolist())
+    return out
+
+
+def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int, int, int, int]], known: Iterable[int] = ()) -> list[tuple[int, int, int, int, float, list[int]]]:
+    """Passages (begin, end in x, begin, end in y, similarity, exact runs in x as begin, end, begin, end ...), in words,
+    given the matches (c in x, reach, c in y, reach, hash function) of windows with the same minimum, and known
+    diagonals."""
+    diagonals = set(known) | _agreeing(matches)
+    runs = {r for d in diagonals for r in _runs_on(x, y, d)}
+    gx, gy = _grams(x, RUN), _grams(y, RUN)
+    while True:
+        chains = _chained(sorted(runs))
+        new = {d for chain in chains if chain[-1][1] - chain[0][0] >= LEAST_SPAN for d in _beside(gx, gy, chain)} - diagonals
+        if not new:
+            break
+        diagonals |= new
+        runs |= {r for d in new for r in _runs_on(x, y, d)}
+    gx, gy = _grams(x, SHINGLE), _grams(y, SHINGLE)
     out = []
     while chains:  # a chain that isn't similar enough falls apart at its widest edit
         chain = chains.pop()
         s, e, t, u = chain[0][0], chain[-1][1], chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0]
         if e - s < LEAST_WORDS or u - t < LEAST_WORDS:
             continue
-        sim = 1.0 if len(chain) == 1 else _similarity(x[s:e], y[t:u])
+        sim = 1.0 if len(chain) == 1 else _similarity(gx[s : e - SHINGLE + 1], gy[t : u - SHINGLE + 1])
         if sim >= SIMILARITY:
-            out.append((s, e, t, u, sim))
+            out.append((s, e, t, u, sim, [p for r in chain for p in r[:2]]))
         elif len(chain) > 1:
             wide = [max(b[0] - a[1], b[2] - a[2] - (a[1] - a[0])) for a, b in zip(chain, chain[1:], strict=False)]
             cut = wide.index(max(wide)) + 1
@@ -198,10 +265,10 @@ def _sequences(docs: DataFrame, ids: DataFrame, doc_col: str, text_col: str) ->
             parts = [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([sequence_fingerprint(p) for p in parts], pa.int64()), pa.array([(p >> np.uint64(32)).astype(np.uint32).tobytes() for p in parts], pa.binary())], names=["fp", "words"])
 
-    return rows.mapInArrow(run, "fp long, words binary").groupBy("fp").agg(F.first("words").alias("words"))
+    return rows.mapInArrow(run, "fp long, words binary")
 
 
-_FOUND = "fp long, s int, e int, lead long, ls int, le int, similarity double"
+_FOUND = "fp long, s int, e int, lead long, ls int, le int, similarity double, runs array<int>"
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -213,71 +280,135 @@ def _verified(pairs: DataFrame) -> DataFrame:
             for fp, lead, x, y, matches, diagonals in zip(*(c for c in batch.columns), strict=True):
                 m = [tuple(v.values()) for v in matches.as_py() or ()]
                 found = shared_passages(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), m, diagonals.as_py() or ())
-                out += [(fp.as_py(), s, e, lead.as_py(), t, u, sim) for s, e, t, u, sim in found]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["fp", "s", "e", "lead", "ls", "le", "similarity"])
+                out += [(fp.as_py(), s, e, lead.as_py(), t, u, sim, runs) for s, e, t, u, sim, runs in found]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["fp", "s", "e", "lead", "ls", "le", "similarity", "runs"])
 
     return pairs.select("fp", "lead", "x", "y", "matches", "diagonals").mapInArrow(run, _FOUND)
 
 
-def _cores(rows: DataFrame) -> DataFrame:
-    """(core, fp, c) for every exact run of CORE words that holds an open minimum of (fp, words, cs)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for k, (fp, words, cs) in enumerate(zip(*batch.columns, strict=True)):
-                w = np.frombuffer(words.as_py(), np.uint32).astype(np.uint64)
-                c = np.unique(np.array(cs.as_py(), np.int64))
-                s = c[:, None] + SHINGLE - CORE + np.arange(CORE - SHINGLE + 1)
-                at, good = np.broadcast_to(c[:, None], s.shape), (s >= 0) & (s <= len(w) - CORE)
-                out.append((shingle_hashes(w, CORE)[s[good]], np.full(int(good.sum()), fp.as_py(), np.int64), at[good]))
-                if sum(len(x[0]) for x in out) > _FLUSH or k == batch.num_rows - 1:
-                    core, fps, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(fps), pa.array(at.astype(np.int32))], names=["core", "fp", "c"])
-                    out = []
-
-    return rows.select("fp", "words", "cs").mapInArrow(run, "core long, fp long, c int")
-
-
-def _spans(rows: DataFrame) -> DataFrame:
-    """(span, fp, s, t, open) for every span of LEAST_WORDS words around the minima of (fp, words, cs, wide, held), and for
-    those of up to GAP words more around the minima in ``wide``: span stands for the RUN words at either end, that begin at s
-    and t; open are those that no passage in ``held`` covers."""
+def _sides(pairs: DataFrame, seqs: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (fp, lead) with the words x and y of both. ``seqs`` is dealt by fp and stays where it is; the few leads' words
+    are a table, as a lead can have many pairs: a plain shuffle on either side, which Spark can split."""
+    leads = written(pairs.select(F.col("lead").alias("fp")).distinct().join(seqs, "fp"), f"{name}-leads")
+    return pairs.join(seqs.withColumnRenamed("words", "x"), "fp").join(leads.select(F.col("fp").alias("lead"), F.col("words").alias("y")), "lead")
+
+
+class _Least:
+    """Least values of ranges: levels of minima over powers of two."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        self.levels = [values]
+        for k in range(longest.bit_length() - 1):
+            a = self.levels[-1]
+            self.levels.append(np.minimum(a[: max(0, len(a) - (1 << k))], a[1 << k :]))
+
+    def of(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(begin), np.uint64)
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.levels[k][begin[at]], self.levels[k][begin[at] + size[at] - (1 << int(k))])
+        return out
+
+
+def anchors(ends: np.ndarray) -> np.ndarray:
+    """Places of the least of each ANCHORS neighbouring values; of equal ones the first."""
+    if len(ends) < ANCHORS:
+        return np.zeros(0, np.int64)
+    near = np.lib.stride_tricks.sliding_window_view(ends, ANCHORS)
+    return np.unique(np.argmin(near, axis=1) + np.arange(len(near)))
+
+
+def _owners(length: int, held: list[tuple[int, int, list[int] | None]], size: int) -> np.ndarray:
+    """Of each place the passage in ``held`` that holds the ``size`` words that begin there in one exact run, or -1."""
+    owner = np.full(length + 1, -1)
+    for k, (_, _, runs) in enumerate(held):
+        for a, b in zip((runs or ())[::2], (runs or ())[1::2], strict=True):
+            owner[a : max(a, b - size + 1)] = k
+    return owner
+
+
+def _free(held: list[tuple[int, int, list[int] | None]], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether no passage in ``held`` covers the words from ``begin`` to ``end``."""
+    begins, stops = np.array(sorted((a, b) for a, b, _ in held) or [], np.int64).reshape(-1, 2).T
+    begins, stops = np.append(-1, begins), np.maximum.accumulate(np.append(-1, stops))
+    return stops[np.searchsorted(begins, begin, side="right") - 1] < end
+
+
+def grams_at(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, list[int] | None]]) -> tuple[np.ndarray, ...]:
+    """(gram, c, open) of the GRAM words from each minimum's shingle on, and of those up to its end; not of those that an
+    exact run of a passage in ``held`` has, as its other side has them, too."""
+    grams, c = shingle_hashes(w, GRAM), np.unique(minima)
+    at = np.concatenate([c, c + SHINGLE - GRAM])
+    c = np.append(c, c)
+    good = (at >= 0) & (at < len(grams))
+    good[good] = _owners(len(w), held, GRAM)[at[good]] < 0
+    return grams[at[good]], c[good], _free(held, c[good], c[good] + SHINGLE)
+
+
+def spans_around(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, list[int] | None]]) -> tuple[np.ndarray, ...]:
+    """(span, inner, s, t, open) of the spans of the words ``w`` that hold one of the ``minima`` (places of shingles): those
+    of LEAST_WORDS words, and those between two anchors of LEAST_SPAN to LEAST_WORDS + GAP words. ``span`` stands for the
+    kind and the RUN words at either end, which begin at s and t; ``inner`` packs four hashes of 16 bits of what is
+    between: the least hash of its shingles under HASHES functions, and their sum. Open are the spans that no passage in
+    ``held`` (begin, end, exact runs) covers; spans whose ends lie in exact runs of one passage are left out, as its
+    other side has them, too."""
+    ends, shingles = shingle_hashes(w, RUN), shingle_hashes(w, SHINGLE)
+    c = np.unique(minima)
+    parts = []
+    s = np.arange(max(0, len(w) - LEAST_WORDS + 1))
+    parts.append((s, s + LEAST_WORDS - RUN, np.full(len(s), 1, np.uint64)))
+    at = anchors(ends)
+    low, high = np.searchsorted(at, at + LEAST_SPAN - RUN), np.searchsorted(at, at + LEAST_WORDS + GAP - RUN, side="right")
+    size = high - low
+    stops = np.cumsum(size)
+    pick = np.repeat(low - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+    parts.append((np.repeat(at, size), at[pick], np.full(len(pick), 2, np.uint64)))
+    s, t, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+    around = np.searchsorted(c, s) < np.searchsorted(c, t + RUN - SHINGLE, side="right")
+    owner = _owners(len(w), held, RUN)
+    around &= (owner[s] < 0) | (owner[s] != owner[t])
+    s, t, kind = s[around], t[around], kind[around]
+    free = _free(held, s, t + RUN)
+    span = mix(ends[s] ^ mix(ends[t] + kind))
+    inner = np.zeros(len(s), np.uint64)
+    if len(s):
+        within = t + RUN - SHINGLE + 1 - s  # shingles of the span
+        for f in range(HASHES):
+            least = _Least(mix(shingles ^ mix(np.array([f + 11], np.uint64))), LEAST_WORDS + GAP)
+            inner |= (least.of(s, within) & np.uint64(0xFFFF)) << np.uint64(16 * f)
+        with np.errstate(over="ignore"):
+            sums = np.append(np.uint64(0), np.cumsum(mix(shingles), dtype=np.uint64))
+            inner |= mix(sums[s + within] - sums[s]) >> np.uint64(48) << np.uint64(48)
+    return span, inner, s, t, free
+
+
+def _around(rows: DataFrame, find, names: str) -> DataFrame:
+    """fp and what ``find`` (grams_at or spans_around) finds in the sequences (fp, words, cs, held), columns ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.bool_() if n == "open" else pa.int32() if len(n) == 1 else pa.int64() for n in names.split()]
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for k, (fp, words, cs, wide, held) in enumerate(zip(*batch.columns, strict=True)):
+            for k, (fp, words, cs, held) in enumerate(zip(*batch.columns, strict=True)):
                 w = np.frombuffer(words.as_py(), np.uint32).astype(np.uint64)
-                ends = shingle_hashes(w, RUN)
-                begins, stops = np.array(sorted((x["s"], x["e"]) for x in held.as_py() or []) or [], np.int64).reshape(-1, 2).T
-                begins, stops = np.append(-1, begins), np.maximum.accumulate(np.append(-1, stops))
-                for more in range(GAP + 1):
-                    c = np.unique(np.array((wide.as_py() if more else cs.as_py()) or [], np.int64))
-                    size = LEAST_WORDS + more
-                    s = np.unique(c[:, None] + SHINGLE - size + np.arange(size - SHINGLE + 1))
-                    s = s[(s >= 0) & (s <= len(w) - size)]
-                    t = s + size - RUN
-                    out.append((mix(ends[s] ^ mix(ends[t] + np.uint64(1))), np.full(len(s), fp.as_py(), np.int64), s, t, stops[np.searchsorted(begins, s, side="right") - 1] < t + RUN))
+                passages = [(p["s"], p["e"], p["runs"]) for p in held.as_py() or ()]
+                got = find(w, np.array(cs.as_py(), np.int64), passages)
+                out.append((np.full(len(got[0]), fp.as_py(), np.int64), *got))
                 if sum(len(x[0]) for x in out) > _FLUSH or k == batch.num_rows - 1:
-                    span, fps, s, t, free = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(span.view(np.int64)), pa.array(fps), pa.array(s.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(free)], names=["span", "fp", "s", "t", "open"])
+                    cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                    cols = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, [pa.int64(), *types], strict=True)], names=["fp", *names.split()])
                     out = []
 
-    return rows.select("fp", "words", "cs", "wide", "held").mapInArrow(run, "span long, fp long, s int, t int, open boolean")
-
-
-def _met(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """The rows whose key more than one sequence has, and an open row if rows tell."""
-    w = Window.partitionBy(key)  # one shuffle of the rows, where a join would take two
-    told = rows.withColumns({"__a": F.min("fp").over(w), "__b": F.max("fp").over(w), "__o": F.max("open").over(w) if "open" in rows.columns else F.lit(True)})
-    return written(told.where("__a <> __b and __o").drop("__a", "__b", "__o"), name)
+    schema = ", ".join(f"{n} {'boolean' if n == 'open' else 'int' if len(n) == 1 else 'long'}" for n in ["fp", *names.split()])
+    return rows.select("fp", "words", "cs", "held").mapInArrow(run, schema.replace("fp int", "fp long"))
 
 
 def _swapped(found: DataFrame) -> DataFrame:
-    """_FOUND rows from the other side."""
-    return found.select(F.col("lead").alias("fp"), F.col("ls").alias("s"), F.col("le").alias("e"), F.col("fp").alias("lead"), F.col("s").alias("ls"), F.col("e").alias("le"), "similarity")
+    """_FOUND rows from the other side, without runs."""
+    return found.select(F.col("lead").alias("fp"), F.col("ls").alias("s"), F.col("le").alias("e"), F.col("fp").alias("lead"), F.col("s").alias("ls"), F.col("e").alias("le"), "similarity", F.lit(None).cast("array<int>").alias("runs"))
 
 
 def _uncovered(rows: DataFrame, held: DataFrame, begin: str, end: str) -> DataFrame:
@@ -286,30 +417,59 @@ def _uncovered(rows: DataFrame, held: DataFrame, begin: str, end: str) -> DataFr
     return rows.join(covered, (F.col("fp") == F.col("__fp")) & (F.col("__s") <= F.expr(begin)) & (F.expr(end) <= F.col("__e")), "left_anti")
 
 
+def _met(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows whose key more than one sequence has, one of them open there, written. The keys are a table of their own,
+    so that the join has a plain shuffle on either side and Spark can split a key that many sequences share."""
+    keys = rows.groupBy(key).agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("open").alias("o")).where("a <> b and o").select(key)
+    keys = written(keys, f"{name}-keys")
+    out = written(rows.join(keys, key), name)
+    discard(keys)
+    return out
+
+
+def _round(left: DataFrame, key: str, seqs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """One star for each key: (heads, _FOUND rows of the others against it). Of all with a key the one with the smallest
+    fingerprint is the centre; its first place meets all places of the others, its other places the first of the next."""
+    head = F.struct("fp", "s", "t", "open")
+    heads = left.groupBy(key).agg(F.min(head).alias("h"))
+    heads = written(heads.select(key, F.col("h.fp").alias("lead"), F.col("h.s").alias("ls"), F.col("h.t").alias("lt"), F.col("h.open").alias("lopen")), f"{name}-heads")
+    both = left.join(heads, key)
+    others = both.where("fp <> lead and (open or lopen)").select("fp", "lead", "s", "t", "ls", "lt")
+    again = written(both.where("fp = lead and s > ls and open").select(key, "lead", F.col("s").alias("ls"), F.col("t").alias("lt")), f"{name}-again")
+    mates = left.join(heads.join(again.select(key).distinct(), key, "left_semi").select(key, "lead"), key).where("fp <> lead").groupBy(key).agg(F.min(F.struct("fp", "s", "t")).alias("m"))
+    more = again.join(written(mates, f"{name}-mates"), key).select("m.fp", "lead", "m.s", "m.t", "ls", "lt")
+    diagonals = F.array_distinct(F.flatten(F.collect_set(F.array(F.col("s") - F.col("ls"), F.col("t") - F.col("lt")))))
+    pairs = written(others.unionByName(more).groupBy("fp", "lead").agg(diagonals.alias("diagonals")), f"{name}-pairs")
+    found = written(_verified(_sides(pairs, seqs, name).withColumn("matches", F.lit(None))), name)
+    discard(again, pairs)
+    return heads, found
+
+
 def _settled(spans: DataFrame, seqs: DataFrame) -> DataFrame:
-    """_FOUND rows of the sequences that meet by spans, one of them open. Of all with a span the one with the smallest
-    fingerprint is the centre; what the passages with it leave open meets the next one, ROUNDS times, and then all."""
-    left, done = _met(spans, "spans", "span"), None
-    for k in range(ROUNDS + 1):
-        head = F.struct("fp", "s", "t", "open")
-        heads = left.groupBy("span").agg(F.min(head).alias("h")) if k < ROUNDS else left.select("span", head.alias("h"))
-        heads = written(heads.select("span", F.col("h.fp").alias("lead"), F.col("h.s").alias("ls"), F.col("h.t").alias("lt"), F.col("h.open").alias("lopen")), f"heads{k}")
-        met = left.join(heads, "span").where("lead < fp and (open or lopen)")
-        diagonals = F.array_distinct(F.flatten(F.collect_set(F.array(F.col("s") - F.col("ls"), F.col("t") - F.col("lt")))))
-        pairs = met.groupBy("fp", "lead").agg(diagonals.alias("diagonals"))
-        sides = pairs.join(seqs.withColumnRenamed("words", "x"), "fp").join(seqs.select(F.col("fp").alias("lead"), F.col("words").alias("y")), "lead")
-        new = written(_verified(sides.withColumn("matches", F.lit(None))), f"settled{k}")
+    """_FOUND rows of the sequences that meet by spans, one of them open: against the first centre of each span, then, of
+    what is left open, against the second, then against the centres of those that agree in a part of ``inner``, too.
+    Groups shrink from key to key, and no step makes more rows than it has."""
+    left = _met(spans, "met", "span")
+    discard(spans)
+    done = None
+    for k in range(3):
+        key = "span"
+        if k == 2:  # those left open, with all that agree with one of them
+            left = left.withColumn("key", F.explode(F.array(*(F.xxhash64("span", F.lit(i), F.shiftright("inner", 16 * i).bitwiseAND(0xFFFF)) for i in range(HASHES + 1)))))
+            left, key = _met(left, "parts", "key"), "key"
+        heads, new = _round(left, key, seqs, f"settled{k}")
         done = new if done is None else done.unionByName(new)
-        if k == ROUNDS:
+        if k == 2:
             break
         # the centre has met all others by this span
         rest = written(left.join(heads.select("span", "lead"), "span").where("fp <> lead").select(*left.columns), f"rest{k}")
         still = _uncovered(rest.where("open"), new.unionByName(_swapped(new)), "s", f"t + {RUN}")
-        rest = still.unionByName(rest.withColumn("open", F.lit(False))).groupBy("span", "fp", "s", "t").agg(F.max("open").alias("open"))
-        left = _met(rest, f"left{k}", "span")
+        rest = still.unionByName(rest.withColumn("open", F.lit(False))).groupBy("span", "inner", "fp", "s", "t").agg(F.max("open").alias("open"))
+        old, left = left, _met(rest, f"left{k}", "span")
+        discard(old, heads)
         if not left.limit(1).count():
             break
-    return done.distinct()
+    return done.dropDuplicates(["fp", "s", "e", "lead", "ls", "le"])
 
 
 def repeated_passages(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,32 +482,39 @@ def repeated_passages(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     passages of the sequence and, besides, one row for the whole text against the smallest id. Words are cut at white
     space, A-Z counting as a-z. Null, empty and shorter texts have no passages. A null doc_id is kept in its rows."""
     every = written(windows(docs, text_col, doc_col), "windows")
-    known = every.where("n is not null")
+    known = written(every.where("n is not null").select("doc_id", "fp", "n"), "known")
     nodes = written(known.where(F.col("fp").isNotNull() & (F.col("n") >= LEAST_WORDS)).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").cast("int").alias("n")), "nodes")
     rows = every.where("key is not null").select("key", "fp", "c", "reach", "which")
-    sizes = rows.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").drop("last")
+    # tables, so that the joins have a plain shuffle on either side and Spark can split a shingle that many sequences share
+    sizes = written(rows.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").drop("last"), "sizes")
     shared = written(rows.join(sizes, "key"), "shared")
-    # a table, so that the join has a plain shuffle on either side and Spark can split a shingle that many sequences share
+    discard(every, sizes)
     centres = written(shared.where("fp = lead").groupBy("key").agg(F.min("c").alias("lc"), F.min_by("reach", "c").alias("lreach")), "centres")
     match = F.struct("c", "reach", F.col("lc").alias("k"), F.col("lreach").alias("s"), F.col("which").alias("f"))
     pairs = shared.where("fp <> lead").join(centres, "key").groupBy("fp", "lead").agg(F.collect_set(match).alias("matches"), F.count_distinct("which").alias("agree")).where(F.col("agree") >= ENOUGH).drop("agree")
     pairs = written(pairs, "pairs")
-    minima = shared.select("fp", "c").distinct()
-    wanted = nodes.join(minima.select("fp").distinct(), "fp", "left_semi").select("rep")
-    seqs = written(_sequences(docs, wanted, doc_col, text_col), "sequences")
-    sides = pairs.join(seqs.withColumnRenamed("words", "x"), "fp").join(seqs.select(F.col("fp").alias("lead"), F.col("words").alias("y")), "lead")
-    found = written(_verified(sides.withColumn("diagonals", F.lit(None))), "verified")
-    # minima that no passage with a centre covers: words may have come or gone there against another sequence
+    minima = written(shared.groupBy("fp").agg(F.collect_set("c").alias("cs")), "minima")
+    discard(shared, centres)
+    wanted = nodes.join(minima.select("fp"), "fp", "left_semi")
+    size = 4 * (wanted.agg(F.sum("n")).head()[0] or 0)
+    seqs = bucketed(_sequences(docs, wanted.select("rep"), doc_col, text_col).dropDuplicates(["fp"]), "fp", "sequences", size // BUCKET_BYTES + 1)
+    found = written(_verified(_sides(pairs, seqs, "pairs").withColumn("diagonals", F.lit(None))), "verified")
+    discard(pairs)
     held = found.unionByName(_swapped(found))
-    left = _uncovered(minima, held, "c", f"c + {SHINGLE}")
-    cores = _cores(left.groupBy("fp").agg(F.collect_set("c").alias("cs")).join(seqs, "fp"))
-    wide = _met(cores, "cores", "core").groupBy("fp").agg(F.collect_set("c").alias("wide"))
-    spread = held.groupBy("fp").agg(F.collect_set(F.struct("s", "e")).alias("held"))
-    around = minima.groupBy("fp").agg(F.collect_set("c").alias("cs")).join(wide, "fp", "left").join(spread, "fp", "left").join(seqs, "fp")
-    more = written(_settled(_spans(around), seqs), "more")
+    # a centre has passages with many; from each place the longest one covers the others
+    from_centres = found.groupBy(F.col("lead").alias("fp"), F.col("ls").alias("s")).agg(F.max("le").alias("e")).withColumn("runs", F.lit(None).cast("array<int>"))
+    spread = found.select("fp", "s", "e", "runs").unionByName(from_centres).groupBy("fp").agg(F.collect_set(F.struct("s", "e", "runs")).alias("held"))
+    spread = written(spread, "spread")
+    around = lambda rows: rows.join(spread, "fp", "left").join(seqs, "fp")
+    grams = written(_around(around(minima), grams_at, "gram c open"), "grams")
+    kept = _met(grams, "kept", "gram").groupBy("fp").agg(F.collect_set("c").alias("cs"))
+    spans = written(_around(around(kept), spans_around, "span inner s t open"), "around")
+    discard(grams)
+    more = written(_settled(spans, seqs), "more")
+    discard(seqs)
     # not again what both documents have already
-    more = _uncovered(more, held, "s", "e").unionByName(_swapped(_uncovered(_swapped(more), held, "s", "e"))).distinct()
-    found = written(found.unionByName(more), "passages")
+    more = _uncovered(more, held, "s", "e").unionByName(_swapped(_uncovered(_swapped(more), held, "s", "e"))).drop("runs").distinct()
+    found = written(found.drop("runs").unionByName(more), "passages")
     # the representatives' side, once per distinct passage
     mirrored = found.groupBy(F.col("lead").alias("fp"), F.col("ls").alias("s"), F.col("le").alias("e")).agg(F.min("fp").alias("lead"), F.min_by(F.struct("s", "e", "similarity"), "fp").alias("o"))
     mirrored = mirrored.select("fp", "s", "e", "lead", F.col("o.s").alias("ls"), F.col("o.e").alias("le"), F.col("o.similarity").alias("similarity"))

@@ -159,11 +159,11 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two arrays of shingles."""
-    a, b = np.unique(a), np.unique(b)
-    both = np.unique(np.concatenate([a, b]))
-    return (len(a) + len(b) - len(both)) / max(1, len(both))
+def _similarity(a: list[int], b: list[int]) -> float:
+    """Jaccard similarity of two lists of shingles."""
+    a, b = set(a), set(b)
+    both = len(a & b)
+    return both / max(1, len(a) + len(b) - both)
 
 
 def _agreeing(matches: list[tuple[int, int, int, int, int]]) -> set[int]:
@@ -172,19 +172,15 @@ def _agreeing(matches: list[tuple[int, int, int, int, int]]) -> set[int]:
     minima are near each other and each minimum lies in the other window; cells of that size are looked up, linear in
     the matches but for many in one cell."""
     wide, drift = LEAST_WORDS, GAP + RUN
-    cells: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    cells: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for c, r, k, s, f in matches:
-        cells.setdefault(((c - k) // drift, c // wide), []).append((f, c, max(c - (r >> 31), k - (s >> 31) + c - k), min(c + (r & _HALF), k + (s & _HALF) + c - k)))
+        cells.setdefault(((c - k) // drift, c // wide), []).append((f, max(c - (r >> 31), k - (s >> 31) + c - k), min(c + (r & _HALF), k + (s & _HALF) + c - k)))
     out = set()
     for c, _, k, _, f in matches:
         i, j = (c - k) // drift, c // wide
         which = {f}
-        for cell in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-            for g, _, low, high in cells.get(cell, ()):
-                if g not in which and low - drift <= c <= high + drift:
-                    which.add(g)
-                if len(which) >= ENOUGH:
-                    break
+        for cell in ((i + a, j + b) for a in (0, -1, 1) for b in (0, -1, 1)):
+            which.update(g for g, low, high in cells.get(cell, ()) if low - drift <= c <= high + drift)
             if len(which) >= ENOUGH:
                 out.add(c - k)
                 break
@@ -237,7 +233,7 @@ def shared_passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int,
             break
         diagonals |= new
         runs |= {r for d in new for r in _runs_on(x, y, d)}
-    gx, gy = _grams(x, SHINGLE), _grams(y, SHINGLE)
+    gx, gy = _grams(x, SHINGLE).tolist(), _grams(y, SHINGLE).tolist()
     out = []
     while chains:  # a chain that isn't similar enough falls apart at its widest edit
         chain = chains.pop()
@@ -339,7 +335,7 @@ def _free(held: list[tuple[int, int, list[int] | None]], begin: np.ndarray, end:
 def grams_at(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, list[int] | None]]) -> tuple[np.ndarray, ...]:
     """(gram, c, open) of the GRAM words from each minimum's shingle on, and of those up to its end; not of those that an
     exact run of a passage in ``held`` has, as its other side has them, too."""
-    grams, c = shingle_hashes(w, GRAM), np.unique(minima)
+    grams, c = mix(_grams(w, GRAM)), np.unique(minima)
     at = np.concatenate([c, c + SHINGLE - GRAM])
     c = np.append(c, c)
     good = (at >= 0) & (at < len(grams))
@@ -354,7 +350,7 @@ def spans_around(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, l
     between: the least hash of its shingles under HASHES functions, and their sum. Open are the spans that no passage in
     ``held`` (begin, end, exact runs) covers; spans whose ends lie in exact runs of one passage are left out, as its
     other side has them, too."""
-    ends, shingles = shingle_hashes(w, RUN), shingle_hashes(w, SHINGLE)
+    ends, shingles = mix(_grams(w, RUN)), _grams(w, SHINGLE)
     c = np.unique(minima)
     parts = []
     s = np.arange(max(0, len(w) - LEAST_WORDS + 1))
@@ -417,56 +413,53 @@ def _uncovered(rows: DataFrame, held: DataFrame, begin: str, end: str) -> DataFr
     return rows.join(covered, (F.col("fp") == F.col("__fp")) & (F.col("__s") <= F.expr(begin)) & (F.expr(end) <= F.col("__e")), "left_anti")
 
 
-def _met(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """The rows whose key more than one sequence has, one of them open there, written. The keys are a table of their own,
-    so that the join has a plain shuffle on either side and Spark can split a key that many sequences share."""
-    keys = rows.groupBy(key).agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("open").alias("o")).where("a <> b and o").select(key)
+def _met(rows: DataFrame, name: str, key: str, headed: bool = False) -> DataFrame:
+    """The rows whose key more than one sequence has, one of them open there, written; if so asked, with the first and the
+    last row of the key (struct of fp, s, t, open) as head and mate. The keys are a table of their own, so that the join
+    has a plain shuffle on either side and Spark can split a key that many sequences share."""
+    row = F.struct("fp", "s", "t", "open") if headed else None
+    ends = [F.min(row).alias("head"), F.max(row).alias("mate")] if headed else []
+    keys = rows.groupBy(key).agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("open").alias("o"), *ends).where("a <> b and o").drop("a", "b", "o")
     keys = written(keys, f"{name}-keys")
     out = written(rows.join(keys, key), name)
     discard(keys)
     return out
 
 
-def _round(left: DataFrame, key: str, seqs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """One star for each key: (heads, _FOUND rows of the others against it). Of all with a key the one with the smallest
-    fingerprint is the centre; its first place meets all places of the others, its other places the first of the next."""
-    head = F.struct("fp", "s", "t", "open")
-    heads = left.groupBy(key).agg(F.min(head).alias("h"))
-    heads = written(heads.select(key, F.col("h.fp").alias("lead"), F.col("h.s").alias("ls"), F.col("h.t").alias("lt"), F.col("h.open").alias("lopen")), f"{name}-heads")
-    both = left.join(heads, key)
-    others = both.where("fp <> lead and (open or lopen)").select("fp", "lead", "s", "t", "ls", "lt")
-    again = written(both.where("fp = lead and s > ls and open").select(key, "lead", F.col("s").alias("ls"), F.col("t").alias("lt")), f"{name}-again")
-    mates = left.join(heads.join(again.select(key).distinct(), key, "left_semi").select(key, "lead"), key).where("fp <> lead").groupBy(key).agg(F.min(F.struct("fp", "s", "t")).alias("m"))
-    more = again.join(written(mates, f"{name}-mates"), key).select("m.fp", "lead", "m.s", "m.t", "ls", "lt")
-    diagonals = F.array_distinct(F.flatten(F.collect_set(F.array(F.col("s") - F.col("ls"), F.col("t") - F.col("lt")))))
-    pairs = written(others.unionByName(more).groupBy("fp", "lead").agg(diagonals.alias("diagonals")), f"{name}-pairs")
+def _round(left: DataFrame, seqs: DataFrame, name: str) -> DataFrame:
+    """_FOUND rows of one star for each key: of all with a key the one with the smallest fingerprint is the centre; its first
+    place meets all places of the others, its other places that are open a place of the last."""
+    others = left.where("fp <> head.fp and (open or head.open)").select("fp", F.col("head.fp").alias("lead"), F.array(F.col("s") - F.col("head.s"), F.col("t") - F.col("head.t")).alias("d"))
+    again = left.where("fp = head.fp and s > head.s and open").select(F.col("mate.fp").alias("fp"), F.col("fp").alias("lead"), F.array(F.col("mate.s") - F.col("s"), F.col("mate.t") - F.col("t")).alias("d"))
+    pairs = written(others.unionByName(again).groupBy("fp", "lead").agg(F.array_distinct(F.flatten(F.collect_set("d"))).alias("diagonals")), f"{name}-pairs")
     found = written(_verified(_sides(pairs, seqs, name).withColumn("matches", F.lit(None))), name)
-    discard(again, pairs)
-    return heads, found
+    discard(pairs)
+    return found
 
 
 def _settled(spans: DataFrame, seqs: DataFrame) -> DataFrame:
     """_FOUND rows of the sequences that meet by spans, one of them open: against the first centre of each span, then, of
     what is left open, against the second, then against the centres of those that agree in a part of ``inner``, too.
-    Groups shrink from key to key, and no step makes more rows than it has."""
-    left = _met(spans, "met", "span")
+    Groups shrink from key to key, and no step makes more rows than a few times those it has."""
+    names = spans.columns
+    left = _met(spans, "met", "span", True)
     discard(spans)
     done = None
     for k in range(3):
-        key = "span"
         if k == 2:  # those left open, with all that agree with one of them
-            left = left.withColumn("key", F.explode(F.array(*(F.xxhash64("span", F.lit(i), F.shiftright("inner", 16 * i).bitwiseAND(0xFFFF)) for i in range(HASHES + 1)))))
-            left, key = _met(left, "parts", "key"), "key"
-        heads, new = _round(left, key, seqs, f"settled{k}")
+            parts = F.explode(F.array(*(F.xxhash64("span", F.lit(i), F.shiftright("inner", 16 * i).bitwiseAND(0xFFFF)) for i in range(HASHES + 1))))
+            left = _met(left.select(*names, parts.alias("key")), "parts", "key", True)
+        new = _round(left, seqs, f"settled{k}")
         done = new if done is None else done.unionByName(new)
         if k == 2:
             break
         # the centre has met all others by this span
-        rest = written(left.join(heads.select("span", "lead"), "span").where("fp <> lead").select(*left.columns), f"rest{k}")
+        rest = left.where("fp <> head.fp").select(*names)
         still = _uncovered(rest.where("open"), new.unionByName(_swapped(new)), "s", f"t + {RUN}")
         rest = still.unionByName(rest.withColumn("open", F.lit(False))).groupBy("span", "inner", "fp", "s", "t").agg(F.max("open").alias("open"))
-        old, left = left, _met(rest, f"left{k}", "span")
-        discard(old, heads)
+        rest = written(rest.select(*names), f"rest{k}")
+        old, left = left, _met(rest, f"left{k}", "span", True)
+        discard(old, rest)
         if not left.limit(1).count():
             break
     return done.dropDuplicates(["fp", "s", "e", "lead", "ls", "le"])

@@ -103,16 +103,45 @@ def test_nearest(spark):
     assert multi_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_isotropic_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(2000)]
+    got = {}
+    for r in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[::50], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert 5 <= r.candidates <= 2000
+    want = brute(rows, [i for i, _ in rows[::50]], 5)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_nearest_of_tight_clusters_reads_few_rows(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(100, 64))
+    df = spark.createDataFrame([(i, (centres[i % 100] + 0.02 * rng.normal(size=64)).tolist()) for i in range(2000)], "vec_id long, embedding array<double>")
+    got = multi_index.nearest(df, df.where("vec_id % 100 = 0")).collect()
+    assert all(r.vec_id % 100 == r.query_id % 100 for r in got) and len(got) == 100
+    assert max(r.candidates for r in got) < 400
+
+
+def test_nearest_at_the_ends_of_the_range(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1.1e-200]), (2, [-1e300, 1.0]), (3, [2.0, 2.0]), (4, [1.0, 0.0]), (5, [1.0]), (6, [-3.0]), (0, [9e200, 9e200]), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, round(r.score, 9)) for r in multi_index.nearest(df, df.where("vec_id in (0, 5)")).orderBy("query_id", "rank").collect()]
+    # the least of the vectors of a repeated id asks, and vectors of other lengths are no candidates
+    assert got == [(0, 3, 1.0), (0, 1, round(2.1 / (2 * (1 + 1.21)) ** 0.5, 9)), (0, 4, round(0.5**0.5, 9)), (0, 2, round(-(0.5**0.5), 9)), (5, 6, -1.0)]
+
+
 def test_pigeonhole_probing_is_complete():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)
     asked = codes[:20].copy()
     asked[:, 0] ^= np.uint64(0b1011 << 13)
-    block = multi_index.Block(np.arange(400), rng.normal(size=(400, 4)), codes)
+    shard = multi_index.Shard(np.arange(400), rng.normal(size=(400, 4)), codes)
     for radius in (0, 3, 17, 50, 60, 128):
-        q, r = block.within(asked, radius)
-        dist = np.bitwise_count(asked[:, None] ^ codes[None]).sum(2)
-        assert set(zip(q.tolist(), r.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(dist <= radius)), strict=True))
+        probes = [multi_index.masks(x) for x in multi_index.shares(radius)]
+        for code in asked:
+            rows, given = shard.within(code, radius, probes)
+            assert rows.tolist() == np.flatnonzero(np.bitwise_count(code ^ codes).sum(1) <= radius).tolist() and len(rows) <= given <= 400
 
 
 def test_warc_round_trip(spark, monkeypatch):

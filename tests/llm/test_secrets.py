@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ def test_battery_separates_random_from_structured(spark):
 
 def test_random_run_is_added_and_redacted(spark):
     structured = "thereandthereand1thereand "
-    docs = spark.createDataFrame([(1, "see q9Zk3LmX8vB2nT7wR4pYc6Hd ok", 3), (2, structured * 3, 4), (3, None, 5)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "see kX7vQ2mB9tRzL4wYc8Hd3NfsJp0UgE5i ok", 3), (2, structured * 3, 4), (3, None, 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert got[1] == "see [SECRET] ok" and got[2] == structured * 3 and got[3] is None
 
@@ -60,3 +63,57 @@ def test_query_over_its_table(spark):
     for r in rows:
         want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base(texts[r.doc_id]))
         assert hashlib.sha256(want.encode()).hexdigest() == r.base_sha256
+
+
+WORDS = "user name list account total session order value index parser buffer handler window result item count field row column cache token server client request response".split()
+
+
+def test_false_share_of_what_is_added(spark):
+    """Random values of every encoding and length among a hundred times as many identifiers and paths."""
+    rng = random.Random(12)
+    planted, texts = [], []
+    for k in range(1200):
+        alphabet = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters, string.digits + "ABCDEF"][k % 5]
+        run = "".join(rng.choice(alphabet) for _ in range([28, 40, 64, 100, 128][k // 5 % 5]))
+        planted.append(run)
+    for k in range(1200):
+        some = []
+        for _ in range(100):
+            w = [rng.choice(WORDS) for _ in range(rng.randint(4, 9))]
+            some.append([lambda w: w[0] + "".join(x.title() for x in w[1:]) + str(rng.randint(0, 9)), "_".join, lambda w: "".join(x.title() for x in w), "/".join, lambda w: "/".join(x.title() for x in w) + "2", lambda w: "_".join(x.upper() for x in w)][rng.randrange(6)](w))
+        texts.append((k, "; ".join([*some[:50], planted[k], *some[50:]])))
+    rows = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), keep=("doc_id", "text")).collect()
+    added = [(r.doc_id, r.text[a:b]) for r in rows for a, k, b in r.spans if k == 3]
+    right = sum(t.strip("=") == planted[i] for i, t in added)
+    print("false share of added", 1 - right / len(added), "found", right / len(planted))
+    assert right / len(planted) >= 0.7 and 1 - right / len(added) <= secrets.FDR
+
+
+def test_base64_without_digits(spark):
+    rng = random.Random(3)
+    runs = ["".join(rng.choice(string.ascii_letters) for _ in range(32)) for _ in range(100)]
+    rows = secrets.scan(spark.createDataFrame([(i, f"a {r} b") for i, r in enumerate(runs)], "doc_id long, text string"), keep=("doc_id",)).collect()
+    assert sum(any(s.kind == 3 for s in r.spans) for r in rows) >= 90
+
+
+def test_work_is_linear_in_the_matches(spark):
+    rng = random.Random(4)
+
+    def seconds(n):
+        text = " ".join("token=abcdef" if k % 2 else "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24)) for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (row,) = secrets.redact(df).collect()
+        assert row.text.count("[SECRET]") >= n // 2
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(25_000), seconds(50_000)
+    assert large <= 2.5 * small + 2
+
+
+def test_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdef", 2, 3, 4, 5)], "doc_id long, text string, base int, runs int, `__text` int, secret_spans int")
+    assert [tuple(r) for r in secrets.redact(docs).collect()] == [(1, "[SECRET]", 2, 3, 4, 5)]
+    (row,) = secrets.scan(docs, keep=("doc_id", "runs", "__text"), prefix="x_").collect()
+    assert (row.runs, row["__text"], [tuple(s) for s in row.x_base]) == (3, 4, [(0, 0, 13)])

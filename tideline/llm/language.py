@@ -27,12 +27,44 @@ HOST_PULL, DOMAIN_PULL, EVIDENCE_PULL = 5.0, 5.0, 20.0
 #: Trigrams are far from independent: their joint log-likelihood is that of this many, at most.
 EFFECTIVE = 200.0
 
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_CLOSING = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style")}
+_OPENING = re.compile(rb"(?i)<(script|style)\b")
 
 
 def visible(html: bytes) -> bytes:
-    """The text of a page: without tags, scripts, styles and comments."""
-    return _HIDDEN.sub(b" ", html)
+    """The text of a page: without tags, scripts, styles and comments, each of which leaves a space. One scan forward: what
+    is never closed is looked for once, and then counts as a tag, or as text if that isn't closed either."""
+    out, at, missing = [], 0, set()
+
+    def closing(name: bytes, begin: int) -> int:
+        if name in missing:
+            return -1
+        if name in _CLOSING:
+            found = _CLOSING[name].search(html, begin)
+            end = found.end() if found else -1
+        else:
+            end = html.find(name, begin)
+            end = end + len(name) if end >= 0 else -1
+        if end < 0:
+            missing.add(name)
+        return end
+
+    while True:
+        begin = html.find(b"<", at)
+        if begin < 0:
+            break
+        out.append(html[at:begin])
+        opened = _OPENING.match(html, begin)
+        end = closing(opened[1].lower(), begin) if opened else closing(b"-->", begin + 4) if html.startswith(b"<!--", begin) else -1
+        if end < 0:
+            end = closing(b">", begin)
+        if end < 0:
+            at = begin
+            break
+        out.append(b" ")
+        at = end
+    out.append(html[at:])
+    return b"".join(out)
 
 
 def _codes(data: np.ndarray) -> np.ndarray:
@@ -84,7 +116,7 @@ def evidence(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     segment = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[/?#-]|$)", 1)
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
-    declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     picked = pages.select(
         pages[id_col].alias("id"), declared.alias("declared"), F.concat_ws("/", F.element_at(F.split(host, r"\."), -1), segment).alias("suffix"), host.alias("host"),
         F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), F.lit(2)), ".").alias("domain"), html.alias("__html"),
@@ -130,7 +162,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     share = [x / sum(sizes) for x in sizes]
     found = rows
     for key, name in (("declared", "__d"), ("suffix", "__s"), ("domain", "__m"), ("host", "__h")):
-        found = found.join(_sums(rows, key, name, n), key)
+        # a table, so that Spark broadcasts it if it is small, and else has a plain shuffle on either side and can split a hot key
+        found = found.join(written(_sums(rows, key, name, n), "sums"), key)
     logs = []
     own = [F.col("post")[k] for k in range(n)]
     left = lambda name: [F.greatest(F.col(f"{name}{k}") - own[k], F.lit(0.0)) for k in range(n)]  # noqa: E731  without the page itself

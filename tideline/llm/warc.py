@@ -102,14 +102,14 @@ def record_id(source_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{source_id}:{digest}'.encode()).digest()[:16])}>"
 
 
-def encode(source_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
-    """One WARC record. Characters that would break a header line are percent-encoded in the address."""
+def encode(source_id: str | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None, revisit: bool) -> bytes:
+    """One WARC record; of a revisit only the payload's size counts. Characters that would break a header line are percent-encoded in the address."""
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(source_id, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if source_id is not None:
         head.append(f"X-Source-Id: {source_id}")
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
+    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
         if refers_to is not None:
@@ -143,21 +143,31 @@ def _open(path: str, write: bool = False):
     return store.open_input_file(inner)
 
 
+#: Digests of shared payloads that a join broadcasts, at most (40 bytes each and some overhead); beyond, rows are shuffled.
+BROADCAST_DIGESTS = 500_000
+
+
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(source_id, url, payload, digest, refers_to, revisit) of each row. Of equal payloads of LEAST_SHARED bytes or
+    """(source_id, url, payload (null for revisits), size, digest, refers_to, revisit) of each row. Of equal payloads of LEAST_SHARED bytes or
     more the smallest id is the response; ids that are null are never that unless all are (then all are responses). A
-    group's minimum is pre-aggregated, and only groups of several rows are joined back."""
+    group's minimum is pre-aggregated from digests and ids alone, and written; only groups of several rows remain, which
+    are counted: few go to the rows, else rows are shuffled to them, plainly on either side, so that Spark can split a
+    payload that many rows have."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = rows.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    long = rows.where(F.octet_length("payload") >= LEAST_SHARED).select(F.unhex("digest").alias("key"), "id")
+    shared = written(long.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "shared")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return rows.join(shared, "digest", "left").select(
-        F.col("id").cast("string").alias("source_id"), "url", "payload", "digest", F.when(revisit, F.col("first").cast("string")).alias("refers_to"), revisit.alias("revisit")
-    )
+    few = shared.count() <= BROADCAST_DIGESTS
+    return rows.join(F.broadcast(shared) if few else shared, F.unhex("digest") == F.col("key"), "left").select(
+        F.col("id").cast("string").alias("source_id"), "url", F.when(~revisit, F.col("payload")).alias("payload"),
+        F.octet_length("payload").cast("long").alias("size"), "digest", F.when(revisit, F.col("first").cast("string")).alias("refers_to"), revisit.alias("revisit"),
+    )
 
 
 def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Writes every row as a record and returns the index (columns INDEX), itself a table in the shared folder.
+    """Writes every row as a record and returns the index (columns INDEX), itself a table in the shared folder. A record's
+    identifier is made of its id and digest, so rows that repeat both share one; bundle, frame and place tell them apart.
 
     Bundles lie in ``folder`` (a URI that all executors reach; by default in the shared folder). Each attempt of a task
     writes bundles of its own names, and only those of the attempt that succeeded enter the index."""
@@ -171,11 +181,11 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("record_id", pa.string()), ("source_id", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("place", pa.int32()), ("size", pa.int32())]))
 
         for chunk in text_chunks(batches, 2):
-            for source, url, payload, digest, refers_to, revisit in zip(*(c.to_pylist() for c in chunk.columns), strict=True):
+            for source, url, payload, size, digest, refers_to, revisit in zip(*(c.to_pylist() for c in chunk.columns), strict=True):
                 if out is None:
                     path, rows = f"{folder}/{uuid.uuid4().hex}.warc.zst", []
                     out = BundleWriter(_open(path, write=True))
-                record = encode(source, url, payload.encode(), digest, refers_to, revisit)
+                record = encode(source, url, (payload or "").encode(), size, digest, refers_to, revisit)
                 frame, place = out.add(record)
                 rows.append({"record_id": record_id(source, digest), "source_id": source, "bundle": path, "frame": frame, "place": place, "size": len(record)})
                 if out.total >= bundle_bytes:

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over symmetric neighbourhoods: each node hands its neighbours (the larger ones, or the smaller ones and
-    itself) the least node it knows."""
+    itself) the least node it knows. The least nodes are a table, so that Spark broadcasts it if it is small, and else has a
+    plain shuffle on either side and can split the centre of a large star."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    done = written(out.where("a <> b").distinct(), "edges")
+    discard(least)
+    return done
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -30,7 +33,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges")
     mark = None
     for _ in range(most):
-        now = written(_star(_star(now, True), False), "edges")
+        half = _star(now, True)
+        old, now = now, _star(half, False)
+        discard(old, half)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(row) == mark:
             break

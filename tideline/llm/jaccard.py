@@ -32,8 +32,8 @@ MOST_MATCHES, VERIFY_COST = 8, 50
 COUNT_CLASSES, COUNT_WINDOW, REPORTED = 4, 1_500_000, 2
 #: Frequent shingles in the global order's table, at most (16 bytes each); others count as rare.
 FREQUENT = 1 << 18
-#: Bytes of shingle sets in a tile's block.
-TILE_BYTES = 12_000_000
+#: Bytes of shingle sets in a tile's block, and what a set counts beside its shingles, which bounds the sets in a block.
+TILE_BYTES, SET_BYTES = 12_000_000, 600
 
 
 class Shingles:
@@ -147,10 +147,12 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, p
 def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of sets with enough shared prefix shingles, and stars over those shingles that many sets share.
     Whatever two sets are linked, the edges connect them."""
-    several = rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("token", "lead")
+    # tables, so that the joins have a plain shuffle on either side and Spark can split a shingle that many sets share
+    several = written(rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("token", "lead"), "several")
     # what is left is small; only here the copies of a set that other tasks emitted go, and sets are counted
     raw = written(rows.join(several, "token"), "raw").dropDuplicates(["token", "fp"])
-    sizes = raw.groupBy("token").agg(F.count("*").alias("size"))
+    raw = written(raw, "once")
+    sizes = written(raw.groupBy("token").agg(F.count("*").alias("size")), "sizes")
     shared = written(raw.join(sizes, "token"), "shared")
     stars = shared.where(F.col("size") > PAIRS_UP_TO).where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
     few = shared.where(F.col("size") <= PAIRS_UP_TO)
@@ -166,23 +168,25 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
 
 
 class _Union:
-    """Disjoint sets over 0..n-1."""
+    """Disjoint sets over 0..n-1; the smaller of two that join takes the label of the larger."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+        self.label = list(range(n))
+        self.members = {k: [k] for k in range(n)}
+        self.largest = 0
 
     def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(x) for x in range(len(self.up))], np.int64)
+        a, b = self.label[x], self.label[y]
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        for k in self.members[b]:
+            self.label[k] = a
+        self.members[a] += self.members.pop(b)
+        if self.largest == b or len(self.members[a]) > len(self.members[self.largest]):
+            self.largest = a
+        return True
 
 
 def _linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -192,8 +196,8 @@ def _linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np
 def spanning_links(sets: list[np.ndarray], is_query: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (places in ``sets``) that connect whatever all links with an end in a query connect.
 
-    A set that is compared goes against all others at once. If all sets are queries, those of the largest component so
-    far are left out: pairs inside it don't matter, and all others are compared with them."""
+    A set is compared with all that share a shingle with it at once, by inverted lists. If all sets are queries, those of
+    the largest component so far are left out: pairs inside it don't matter, and all others are compared with them."""
     size = np.array([len(s) for s in sets], np.int64)
     n = len(sets)
     if n < 2:
@@ -201,27 +205,30 @@ def spanning_links(sets: list[np.ndarray], is_query: np.ndarray, percent: int) -
     owner, begin = np.repeat(np.arange(n), size), np.append(0, np.cumsum(size))
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     common = np.bincount(token)
+    # inverted lists of the shingles that more than one set has
+    lists, first = owner[np.argsort(token, kind="stable")], np.append(0, np.cumsum(common))
     # the centre of a group of copies shares most with the others
     weight = np.bincount(owner, common[token] - 1, minlength=n) / size
     union, links, whole = _Union(n), [], bool(is_query.all())
-    todo = is_query.copy()
-    x = int(np.argmax(np.where(todo, weight, -1)))
-    while True:
-        mark = np.zeros(len(common), bool)
-        mark[token[begin[x] : begin[x + 1]]] = True
-        inter = np.bincount(owner[mark[token]], minlength=n)
-        hit = _linked(inter, size[x], size, percent)
-        for y in np.flatnonzero(hit).tolist():
-            if union.join(x, y):
-                links.append((x, y))
-        todo[x] = False
-        left = todo
-        if whole:
-            roots = union.roots()
-            left = todo & (roots != np.argmax(np.bincount(roots)))
-        if not left.any():
+    order = [x for x in np.argsort(-weight, kind="stable").tolist() if is_query[x] and weight[x] > 0]
+    while order:
+        later = []
+        for x in order:
+            if whole and union.label[x] == union.largest and len(union.members[union.largest]) > 1:
+                later.append(x)
+                continue
+            mine = token[begin[x] : begin[x + 1]]
+            mine = mine[common[mine] > 1]
+            low, many = first[mine], common[mine]
+            ends = np.cumsum(many)
+            others, inter = np.unique(lists[np.repeat(low - (ends - many), many) + np.arange(ends[-1])], return_counts=True)
+            for y in others[_linked(inter, size[x], size[others], percent)].tolist():
+                if union.join(x, y):
+                    links.append((x, y))
+        if all(union.label[x] == union.largest for x in later):
             return links
-        x = int(np.argmax(np.where(left, weight, -1)))
+        order = later
+    return links
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -281,7 +288,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, doc_col: str, text_col: st
 def _by_length(sets: DataFrame, percent: int) -> DataFrame:
     """``sets`` with the labels of large groups replaced: sets can only link if their sizes lie in the same class of sizes
     or in neighbouring ones, so that a large group falls into groups of two neighbouring classes, each set in two."""
-    large = sets.groupBy("label").agg(F.sum(F.octet_length("tokens")).alias("size")).where(F.col("size") > TILE_BYTES).select("label")
+    large = sets.groupBy("label").agg(F.sum(F.octet_length("tokens") + SET_BYTES).alias("size")).where(F.col("size") > TILE_BYTES).select("label")
     large = written(large, "large")
     few = large.count()
     if not few:
@@ -296,7 +303,7 @@ def _by_length(sets: DataFrame, percent: int) -> DataFrame:
 def _links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect all that is linked. ``sets``: fp, label, tokens; a label's links stay inside it."""
     sets = _by_length(sets, percent)
-    bytes_of = sets.groupBy("label").agg(F.sum(F.octet_length("tokens")).alias("size"))
+    bytes_of = sets.groupBy("label").agg(F.sum(F.octet_length("tokens") + SET_BYTES).alias("size"))
     blocks = written(bytes_of.select("label", F.ceil(F.col("size") / TILE_BYTES).cast("int").alias("nb")).where("nb > 1"), "blocks")
     tile = lambda *c: F.xxhash64(*c)
     few = blocks.count()
@@ -314,7 +321,7 @@ def _links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     star = written(tile_links(shape(large, False, "label", "block").unionByName(shape(as_query, True, "label", "block")), percent), "star")
     # ... then the sets outside the largest component of their group against all blocks
     part = components(star)
-    member = large.select("fp", "label", F.octet_length("tokens").alias("size")).join(part.withColumnRenamed("label", "part").withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    member = large.select("fp", "label", (F.octet_length("tokens") + SET_BYTES).alias("size")).join(part.withColumnRenamed("label", "part").withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     biggest = member.groupBy("label", "part").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("part", "n").alias("main"))
     open_ = member.join(biggest, "label").where("part <> main")
     many = open_.groupBy("label").agg(F.ceil(F.sum("size") / TILE_BYTES).cast("int").alias("nq"))

@@ -188,3 +188,34 @@ def test_walk_forward_predicts_every_month(spark, monkeypatch):
 def test_logistic_grid_is_whole(spark):
     got = {(r.C, r.penalty, r.class_weight) for r in prices.logistic_grid(spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == 16 and {r[1] for r in got} == {"l1", "l2"} and {r[0] for r in got} == {0.01, 0.1, 1.0, 10.0}
+
+
+def test_l1_penalises_the_intercept(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    y = (x[:, 0] + 0.5 * rng.normal(size=200) > -1.0).astype(int)
+    rows = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
+    (model, means, spreads) = models.fit_logistic(rows, ["a", "b"], C=0.01, penalty="l1")
+    assert model.intercept >= 0 and abs(model.coefficients[1]) < 1e-9
+    strong, *_ = models.fit_logistic(rows, ["a", "b"], C=100.0, penalty="l1")
+    assert strong.intercept > model.intercept and strong.coefficients[0] > 1
+    assert models.best_of([{"accuracy": 0.5, "m": 1}, {"accuracy": 0.6, "m": 2}, {"accuracy": 0.6, "m": 3}])["m"] == 2
+
+
+def test_explained_variance_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"t{rng.integers(0, 12)}" for _ in range(20))) for i in range(40)], "id int, t string")
+    found = models.terms(docs, "id", F.col("t"), bigrams=False)
+    vocab = models.vocabulary(found, 40)
+    size = vocab.count()
+    weights = models.tfidf(found, vocab, "id")
+    v, rows = models.truncated_svd(weights, "id", 3, size)
+    x = np.zeros((40, size))
+    for r in weights.collect():
+        x[r.id, r.idx] = r.weight
+    want = (x @ v.T).var(0) / x.var(0).sum()
+    assert np.allclose(models.explained_variance(rows, weights, "id", 3), want)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tideline.functions.text import tokens
 
 #: Words of a lexicon that is broadcast, at most.
 LEXICON_ROWS = 1_000_000
+#: Two or more word characters (letters, digits, underscore), as functions.text.tokens.
+TOKEN = re.compile(r"\w{2,}")
 
 
 def price_features(series: DataFrame, date_col: str = "date", rate_col: str = "rate", lags: Sequence[int] = (0, 1, 2, 3, 4), momentum: Sequence[int] = (5, 20), volatility: int = 20, average: int = 20, by: Sequence[str] = ()) -> DataFrame:
@@ -45,23 +49,56 @@ def token_rows(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(key, F.posexplode(tokens(text)).alias("pos", "token")).withColumn("token", F.upper("token"))
 
 
+def _counted(docs: DataFrame, words: dict[str, tuple[bool, bool, bool]], key: str, text: Column, negators: frozenset[str], reach: int) -> DataFrame:
+    """(key, n_tokens, pos, neg, unc) of each row, counted inside the row: one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # LEXICON_ROWS at most
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            sums = []
+            for value in batch.column(1).to_pylist():
+                found = [t.upper() for t in TOKEN.findall(value or "")]
+                pos = neg = unc = 0
+                for i, word in enumerate(found):
+                    marks = known.get(word)
+                    if marks:
+                        p, n, u = marks
+                        if p and negators.isdisjoint(found[max(0, i - reach) : i]):
+                            pos += 1
+                        elif p or n:
+                            neg += 1
+                        unc += u
+                sums.append((len(found), pos, neg, unc))
+            counts = [pa.array(c, pa.int64()) for c in zip(*sums, strict=True)] if sums else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts], names=["k", "n_tokens", "pos", "neg", "unc"])
+
+    return docs.select(F.col(key).alias("k"), text.alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, pos long, neg long, unc long").withColumnRenamed("k", key)
+
+
+def _joined(docs: DataFrame, lexicon: DataFrame, key: str, text: Column, negators: Sequence[str], reach: int) -> DataFrame:
+    """As _counted, for a lexicon too large to go to all executors: words of it meet the texts' words in a join."""
+    words = docs.select(F.col(key), F.monotonically_increasing_id().alias("__id"), F.transform(tokens(text), lambda t: F.upper(t)).alias("__t"))
+    flagged = F.transform("__t", lambda t, i: F.struct(t.alias("w"), F.exists(F.slice(F.col("__t"), F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), lambda p: p.isin(*negators)).alias("neg")))
+    hit = words.select(key, "__id", F.size("__t").cast("long").alias("__n"), F.explode_outer(flagged).alias("x")).join(lexicon, F.col("x.w") == F.col("word"), "left")
+    p, n, u = (F.coalesce(F.col(c), F.lit(False)) for c in ("is_positive", "is_negative", "is_uncertainty"))
+    negated = F.col("x.neg")
+    return hit.groupBy("__id", key).agg(F.max("__n").alias("n_tokens"), F.count_if(p & ~negated).alias("pos"), F.count_if((p & negated) | (~p & n)).alias("neg"), F.count_if(u).alias("unc")).drop("__id")
+
+
 def tone(docs: DataFrame, lexicon: DataFrame, key: str, text: Column, negators: Sequence[str] = ("NO", "NOT", "NEVER", "NONE", "WITHOUT"), reach: int = 3) -> DataFrame:
-    """Per document n_tokens, lm_neg, lm_pos, lm_unc (shares of tokens), lm_net = (pos-neg)/(pos+neg+1), lm_has_hit.
+    """Per row n_tokens, lm_neg, lm_pos, lm_unc (shares of tokens), lm_net = (pos-neg)/(pos+neg+1), lm_has_hit.
 
     ``lexicon``: word, is_positive, is_negative, is_uncertainty. A positive word counts as negative if a negator stands
     among the ``reach`` tokens before it; a word in both lists is positive; negated negatives stay negative. Texts
-    without tokens have zeros. The look-back is a slice of the token array, so that no document is sorted or shuffled;
-    only tokens of the lexicon are counted after the join."""
-    words = docs.select(key, F.transform(tokens(text), lambda t: F.upper(t)).alias("__t"))
-    placed = words.select(key, F.size("__t").alias("__n"), F.explode_outer(F.transform("__t", lambda t, i: F.struct(t.alias("w"), F.exists(F.slice(F.col("__t"), F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), lambda p: p.isin(*negators)).alias("neg")))).alias("x"))
-    # a lexicon has some thousand words; one that hasn't is shuffled rather than broadcast
-    lexicon = lexicon.select("word", "is_positive", "is_negative", "is_uncertainty")
-    known = F.broadcast(lexicon) if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS else lexicon
-    hit = placed.select(key, "__n", "x.w", F.col("x.neg").alias("negated")).join(known, F.col("w") == known["word"], "left")
-    p, n, u = (F.coalesce(known[c], F.lit(False)) for c in ("is_positive", "is_negative", "is_uncertainty"))
-    pos = p & ~F.col("negated")
-    neg = (p & F.col("negated")) | (~p & n)
-    sums = hit.groupBy(key).agg(F.max("__n").cast("long").alias("n_tokens"), F.count_if(pos).alias("pos"), F.count_if(neg).alias("neg"), F.count_if(u).alias("unc"))
+    without tokens have zeros; a word that the lexicon repeats has the marks of all its rows."""
+    flags = ("is_positive", "is_negative", "is_uncertainty")
+    lexicon = lexicon.where("word is not null").groupBy("word").agg(*(F.max(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in flags))
+    if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
+        sums = _counted(docs, {r[0]: (r[1], r[2], r[3]) for r in lexicon.collect()}, key, text, frozenset(negators), reach)
+    else:
+        sums = _joined(docs, lexicon, key, text, negators, reach)
     share = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0)
     return sums.select(
         key, "n_tokens", share("neg").alias("lm_neg"), share("pos").alias("lm_pos"), share("unc").alias("lm_unc"),

@@ -50,7 +50,10 @@ def classify(rows: DataFrame, taxonomy: Mapping, priors: Sequence[str] = (), tit
     tags = F.array().cast("array<string>") if tags is None else tags
     joined = F.concat_ws(" | ", tags)
     where = joined if section is None else F.concat_ws(" | ", section, tags)
-    staged = rows.withColumns({"title_matches": match_taxonomy(F.col(title_col), terms), "tag_matches": match_taxonomy(joined, terms), "matched_priors": sorted_ignoring_case(matched_keywords(where, list(priors)))})
+    found = {"title_matches": match_taxonomy(F.col(title_col), terms), "tag_matches": match_taxonomy(joined, terms), "matched_priors": sorted_ignoring_case(matched_keywords(where, list(priors)))}
+    # an array of one, exploded: no filter or projection above repeats the patterns
+    staged = rows.withColumn("__f", F.explode(F.array(F.struct(*(c.alias(n) for n, c in found.items())))))
+    staged = staged.withColumns({n: F.col(f"__f.{n}") for n in found}).drop("__f")
     t, p = F.col("title_matches"), F.col("tag_matches")
     count = lambda m: F.size(F.array_distinct(F.flatten(F.map_values(m))))
     prior = F.size("matched_priors") > 0

@@ -84,7 +84,8 @@ def cutoff_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", cal.cutoff_seconds(F.to_date(local()), "15:00", spans).alias("cutoff"))
 
 
-TYPES = ("click", "view", "purchase")
+#: All types that events have.
+TYPES = ("click", "view", "purchase", "signup", "error")
 _SQL_TYPES = ", ".join(f"count(*) FILTER (event_type = '{t}') AS count_{t}, avg(value) FILTER (event_type = '{t}') AS mean_value_{t}" for t in TYPES)
 
 

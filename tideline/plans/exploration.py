@@ -27,11 +27,14 @@ def quantity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 0.0, 50.0, 10)
 
 
-@R.query("SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view, round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM events GROUP BY 1")
+TYPES = ("click", "view", "purchase", "signup", "error")
+
+
+@R.query("SELECT strftime(ts, '%Y-%m-%d') AS day, " + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in TYPES) + " FROM events GROUP BY 1")
 def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value by day, one column per event type."""
     rows = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return rounded(rows.groupBy("day").pivot("event_type", ["click", "view", "purchase"]).agg(F.avg("value")))
+    return rounded(rows.groupBy("day").pivot("event_type", list(TYPES)).agg(F.avg("value")))
 
 
 @R.query("SELECT o_orderpriority, round(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / sum(1), 6) AS share_f, round(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) / sum(1), 6) AS share_o FROM orders GROUP BY 1")

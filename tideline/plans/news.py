@@ -54,10 +54,10 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("normalized_url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("observations"), F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
 
 
-@R.query(r"SELECT doc_id, trim(regexp_replace(nfc_normalize(split_part(text, chr(10), 1)), '\s+', ' ', 'g')) AS title FROM documents")
+@R.query(r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS title FROM documents")
 def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each document as a clean title."""
-    return table(spark, sf_dir, "documents").select("doc_id", txt.clean_title(F.substring_index("text", "\n", 1)).alias("title"))
+    """The text of each document as a clean title."""
+    return table(spark, sf_dir, "documents").select("doc_id", txt.clean_title(F.col("text")).alias("title"))
 
 
 PREFIXES = ("The", "Of the", "La", "Die")
@@ -198,7 +198,7 @@ y AS (SELECT 'prefilter_reject' AS sample_group, doc_id, row_number() OVER (ORDE
 SELECT sample_group, doc_id, CAST(r AS INT) AS sample_rank FROM x UNION ALL SELECT sample_group, doc_id, CAST(r AS INT) FROM y""")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stratified sample of candidates and one of rejects (sampling is the feature)."""
-    rows = classified(spark, sf_dir)
+    rows = classified(spark, sf_dir).select("doc_id", "lang", "source", "is_candidate", "matched_categories").persist()  # for both samples
     return sampling.review_sample(rows.where("is_candidate"), rows.where("not is_candidate"), 60, 40, F.col("lang"), F.col("source"), F.col("lang"), "doc_id")
 
 

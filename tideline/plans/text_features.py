@@ -84,16 +84,26 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svd_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top terms of five components."""
     found, v = vocab(spark, sf_dir)
-    v = v.cache()
+    v = v.persist()
     components, _ = models.truncated_svd(models.tfidf(found, v, "doc_id"), "doc_id", 5, v.count())
     return rounded(models.top_terms(components, v, 5))
 
 
+@R.query()
+def svd_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explained variance of five components."""
+    found, v = vocab(spark, sf_dir)
+    v = v.persist()
+    weights = models.tfidf(found, v, "doc_id").persist()
+    _, rows = models.truncated_svd(weights, "doc_id", 5, v.count())
+    return rounded(spark.createDataFrame(list(enumerate(models.explained_variance(rows, weights, "doc_id", 5))), "component int, explained double"))
+
+
 @R.query()
 def svd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean components per language."""
     found, v = vocab(spark, sf_dir)
-    v = v.cache()
+    v = v.persist()
     _, rows = models.truncated_svd(models.tfidf(found, v, "doc_id"), "doc_id", 5, v.count())
     langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return rounded(rows.join(langs, "doc_id").groupBy("lang").agg(*(F.avg(F.col("svd")[j]).alias(f"svd_{j}") for j in range(5))))

@@ -175,3 +175,46 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tiles_of_unlinked_sets_are_nearly_linear():
+    import time
+
+    import numpy as np
+
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        sets = [np.unique(rng.integers(0, 10 * n, 5).astype(np.uint64)) for _ in range(n)]
+        began = time.perf_counter()
+        links = jaccard.spanning_links(sets, np.ones(n, bool), 80)
+        assert len(links) < n // 10
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16_000) <= 2.5 * seconds(8000) + 0.5
+
+
+def test_agreeing_matches_are_found_in_linear_time():
+    import time
+
+    import numpy as np
+
+    def seconds(n):
+        words = np.arange(n, dtype=np.uint32)
+        matches = [(c, 40 << 31 | 40, c, 40 << 31 | 40, c % 3) for c in range(0, n - 5, 8)]
+        began = time.perf_counter()
+        assert passages.shared_passages(words, words, matches)[0][:4] == (0, n, 0, n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) <= 2.5 * seconds(40_000) + 0.3
+
+
+def test_windows_beyond_65535_words(spark):
+    rng = random.Random(2)
+    text = lambda n: ["v" + str(rng.randint(0, 10_000_000)) for _ in range(n)]
+    shared = text(70_000)
+    docs = [text(30) + shared, shared + text(50), text(100) + shared[65_600:65_700]]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    spans = {(r.doc_id, r.start_word, r.end_word) for r in got}
+    assert {(0, 30, 70_030), (1, 0, 70_000)} & spans and (2, 100, 200) in spans

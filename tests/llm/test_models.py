@@ -183,3 +183,62 @@ def test_bundles_are_plain_zstandard(spark, tmp_path):
     path.write_bytes(path.read_bytes()[:-1])
     with open(path, "rb") as f, pytest.raises(ValueError):
         warc.BundleReader(f)
+
+
+def test_visible_equals_one_expression_and_is_linear():
+    import re
+    import time
+
+    old = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(1)
+    parts = [b"<script>", b"</script >", b"<STYLE a>", b"</style>", b"<!--", b"-->", b"<p>", b"<", b">", b"text ", b"<scripty>", b"a<b", b"--", b"<!-->"]
+    for _ in range(5000):
+        html = b"".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert language.visible(html) == old.sub(b" ", html)
+
+    def seconds(n):
+        began = time.perf_counter()
+        language.visible(b"<script>x <!-- <style " * n)
+        return time.perf_counter() - began
+
+    assert seconds(200_000) <= 2.5 * seconds(100_000) + 0.2
+
+
+def test_language_posteriors_equal_a_loop(spark):
+    import math
+
+    texts = {"en": [b"the house and the river with the old stone"] * 3, "de": [b"das haus und der fluss mit dem alten stein"] * 3}
+    model = language.TextModel(texts)
+    pages = [(1, "http://a.de/x", '<html lang="de">das haus und'), (2, "http://a.de/y", "<html lang=en>the house"), (3, "http://www.a.de/", "der"), (4, None, None), (5, "http://b.com/en/", "the river und"), (5, "http://b.com/en/", "the river und")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
+    rows = language.evidence(df, model).collect()
+    softmax = lambda x: [math.exp(v - max(x)) / sum(math.exp(u - max(x)) for u in x) for v in x]
+    post = [softmax(r.text) for r in rows]
+    share = [sum(p[k] for p in post) + 1 for k in range(2)]
+    share = [s / sum(share) for s in share]
+    want = []
+    for i, r in enumerate(rows):
+        logs = []
+        others = {c: [sum(post[j][k] for j, o in enumerate(rows) if o[c] == r[c] and j != i) for k in range(2)] for c in ("host", "domain", "declared", "suffix")}
+        for k in range(2):
+            domain = (others["domain"][k] + language.DOMAIN_PULL * share[k]) / (sum(others["domain"]) + language.DOMAIN_PULL)
+            log = r.text[k] + math.log((others["host"][k] + language.HOST_PULL * domain) / (sum(others["host"]) + language.HOST_PULL))
+            for c in ("declared", "suffix"):
+                if r[c]:
+                    log += math.log((others[c][k] + language.EVIDENCE_PULL * share[k]) / ((sum(others[c]) + language.EVIDENCE_PULL) * share[k]))
+            logs.append(log)
+        want.append((r.id, model.languages[logs.index(max(logs))], round(max(softmax(logs)), 9)))
+    assert sorted((r.id, r.lang, round(r.score, 9)) for r in language.identify(df, model).collect()) == sorted(want)
+
+
+def test_quality_sizes_equal_plain_compression():
+    import zstandard
+
+    rng = random.Random(5)
+    model = quality.CompressionModel([good(rng).encode() for _ in range(60)], [bad(rng).encode() for _ in range(60)])
+    for text in (b"", b"river stone", (good(rng) * 100).encode()):
+        want = [len(text)]
+        for raw in model.dictionaries:
+            blocks = [text[i : i + quality.BLOCK] for i in range(0, max(1, len(text)), quality.BLOCK)]
+            want.append(sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)) for b in blocks))
+        assert model.sizes([text])[0].tolist() == want

@@ -32,10 +32,10 @@ LEAST_WORDS, HASHES, ENOUGH = 50, 3, 2
 SIMILARITY = 0.8
 #: Words that an edit inside a passage may span, and words of the shortest exact run that counts.
 GAP, RUN = 10, 8
-#: Runs of RUN words among which the one of least hash is an anchor, and words of the shortest span between two anchors: of
-#: LEAST_WORDS words with one word edited, the longer part holds two anchors as far apart. The longest span has GAP words
-#: more than LEAST_WORDS.
-ANCHORS, LEAST_SPAN = 8, 24
+#: Runs of RUN words among which the one of least hash is an anchor, and words of the shortest and the longest span between
+#: two anchors. 15 words have an anchor; so of LEAST_WORDS words with one edit of up to GAP words inside, there are two
+#: anchors as far apart, in the longer part (38 words hold two 24 to 31 words apart) or on either side of the edit.
+ANCHORS, LEAST_SPAN, MOST_SPAN = 8, 24, 44
 #: Words of the exact runs that begin or end at a minimum by which spans are searched: of LEAST_SPAN exact words, all but
 #: one, any minimum has one of the two.
 GRAM = 14
@@ -118,7 +118,7 @@ def windows(docs: DataFrame, text_col: str, doc_col: str) -> DataFrame:
                 done.clear()
             if not new.any():
                 continue
-            shingles = shingle_hashes(words, SHINGLE)
+            shingles = mix(_grams(words, SHINGLE))
             begin, end = first[:-1][new], first[1:][new] - SHINGLE + 1
             fp = np.array([x for x, k in zip(fps, new, strict=True) if k], np.int64)
             for f in range(HASHES):
@@ -345,7 +345,7 @@ def grams_at(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, list[
 
 def spans_around(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, list[int] | None]]) -> tuple[np.ndarray, ...]:
     """(span, inner, s, t, open) of the spans of the words ``w`` that hold one of the ``minima`` (places of shingles): those
-    of LEAST_WORDS words, and those between two anchors of LEAST_SPAN to LEAST_WORDS + GAP words. ``span`` stands for the
+    of LEAST_WORDS words, and those between two anchors of LEAST_SPAN to MOST_SPAN words. ``span`` stands for the
     kind and the RUN words at either end, which begin at s and t; ``inner`` packs four hashes of 16 bits of what is
     between: the least hash of its shingles under HASHES functions, and their sum. Open are the spans that no passage in
     ``held`` (begin, end, exact runs) covers; spans whose ends lie in exact runs of one passage are left out, as its
@@ -356,7 +356,7 @@ def spans_around(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, l
     s = np.arange(max(0, len(w) - LEAST_WORDS + 1))
     parts.append((s, s + LEAST_WORDS - RUN, np.full(len(s), 1, np.uint64)))
     at = anchors(ends)
-    low, high = np.searchsorted(at, at + LEAST_SPAN - RUN), np.searchsorted(at, at + LEAST_WORDS + GAP - RUN, side="right")
+    low, high = np.searchsorted(at, at + LEAST_SPAN - RUN), np.searchsorted(at, at + MOST_SPAN - RUN, side="right")
     size = high - low
     stops = np.cumsum(size)
     pick = np.repeat(low - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
@@ -372,7 +372,7 @@ def spans_around(w: np.ndarray, minima: np.ndarray, held: list[tuple[int, int, l
     if len(s):
         within = t + RUN - SHINGLE + 1 - s  # shingles of the span
         for f in range(HASHES):
-            least = _Least(mix(shingles ^ mix(np.array([f + 11], np.uint64))), LEAST_WORDS + GAP)
+            least = _Least(mix(shingles ^ mix(np.array([f + 11], np.uint64))), LEAST_WORDS)
             inner |= (least.of(s, within) & np.uint64(0xFFFF)) << np.uint64(16 * f)
         with np.errstate(over="ignore"):
             sums = np.append(np.uint64(0), np.cumsum(mix(shingles), dtype=np.uint64))
@@ -438,30 +438,23 @@ def _round(left: DataFrame, seqs: DataFrame, name: str) -> DataFrame:
 
 
 def _settled(spans: DataFrame, seqs: DataFrame) -> DataFrame:
-    """_FOUND rows of the sequences that meet by spans, one of them open: against the first centre of each span, then, of
-    what is left open, against the second, then against the centres of those that agree in a part of ``inner``, too.
-    Groups shrink from key to key, and no step makes more rows than a few times those it has."""
+    """_FOUND rows of the sequences that meet by spans, one of them open: against the centre of each span, then, of what is
+    left open, against the next centres among those that agree in a part of ``inner``, too, one for each part. Groups
+    shrink from key to key, and no step makes more rows than a few times those it has."""
     names = spans.columns
     left = _met(spans, "met", "span", True)
     discard(spans)
-    done = None
-    for k in range(3):
-        if k == 2:  # those left open, with all that agree with one of them
-            parts = F.explode(F.array(*(F.xxhash64("span", F.lit(i), F.shiftright("inner", 16 * i).bitwiseAND(0xFFFF)) for i in range(HASHES + 1))))
-            left = _met(left.select(*names, parts.alias("key")), "parts", "key", True)
-        new = _round(left, seqs, f"settled{k}")
-        done = new if done is None else done.unionByName(new)
-        if k == 2:
-            break
-        # the centre has met all others by this span
-        rest = left.where("fp <> head.fp").select(*names)
-        still = _uncovered(rest.where("open"), new.unionByName(_swapped(new)), "s", f"t + {RUN}")
-        rest = still.unionByName(rest.withColumn("open", F.lit(False))).groupBy("span", "inner", "fp", "s", "t").agg(F.max("open").alias("open"))
-        rest = written(rest.select(*names), f"rest{k}")
-        old, left = left, _met(rest, f"left{k}", "span", True)
-        discard(old, rest)
-        if not left.limit(1).count():
-            break
+    done = _round(left, seqs, "settled0")
+    # each centre has met all others with its span
+    rest = left.where("fp <> head.fp").select(*names)
+    still = _uncovered(rest.where("open"), done.unionByName(_swapped(done)), "s", f"t + {RUN}")
+    rest = still.unionByName(rest.withColumn("open", F.lit(False))).groupBy("span", "inner", "fp", "s", "t").agg(F.max("open").alias("open"))
+    rest = written(rest.select(*names), "rest")
+    discard(left)
+    parts = F.explode(F.array(*(F.xxhash64("span", F.lit(i), F.shiftright("inner", 16 * i).bitwiseAND(0xFFFF)) for i in range(HASHES + 1))))
+    left = _met(rest.select(*names, parts.alias("key")), "parts", "key", True)
+    discard(rest)
+    done = done.unionByName(_round(left, seqs, "settled1"))
     return done.dropDuplicates(["fp", "s", "e", "lead", "ls", "le"])
 
 

@@ -67,13 +67,16 @@ def compact_windows(h: np.ndarray, begin: np.ndarray, end: np.ndarray, least: in
             break
         levels.append(np.minimum(a[: len(a) - (1 << k)], a[1 << k :]))
     k = least.bit_length() - 1
-    size = end - begin - least + 1
-    stops = np.cumsum(size)
-    start = np.repeat(begin - (stops - size), size) + np.arange(int(stops[-1]))  # of each subsequence of that length
-    owner = np.repeat(np.arange(len(begin)), size)
-    low = np.minimum(levels[k][start], levels[k][start + least - (1 << k)])
-    fresh = np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))
-    start, owner = start[fresh], owner[fresh]
+    m = len(h) - least + 1
+    low = np.minimum(levels[k][:m], levels[k][least - (1 << k) : least - (1 << k) + m])  # of each subsequence of that length
+    inside = np.zeros(m + 1, np.int8)
+    inside[begin] += 1
+    inside[end - least + 1] -= 1
+    fresh = np.cumsum(inside, dtype=np.int8)[:m].astype(bool)
+    fresh[1:] &= low[1:] != low[:-1]
+    fresh[begin] = True
+    start = np.flatnonzero(fresh)
+    owner = np.searchsorted(begin, start, side="right") - 1
     c = np.concatenate([start[a : a + 20_000] + np.argmin(h[start[a : a + 20_000, None] + np.arange(least)], axis=1) for a in range(0, len(start), 20_000)])
     c, pick = np.unique(c, return_index=True)
     first, last, value = begin[owner[pick]], end[owner[pick]], h[c]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, cols, ddl, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
+from .common import LOWER, NOT_SPACE, cols, ddl, discard, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
 from .components import components
 
 #: Shared prefix shingles of more nodes than this give a star instead of pairs.
@@ -150,10 +150,11 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     # tables, so that the joins have a plain shuffle on either side and Spark can split a shingle that many sets share
     several = written(rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("token", "lead"), "several")
     # what is left is small; only here the copies of a set that other tasks emitted go, and sets are counted
-    raw = written(rows.join(several, "token"), "raw").dropDuplicates(["token", "fp"])
-    raw = written(raw, "once")
-    sizes = written(raw.groupBy("token").agg(F.count("*").alias("size")), "sizes")
-    shared = written(raw.join(sizes, "token"), "shared")
+    raw = written(rows.join(several, "token"), "raw")
+    once = written(raw.dropDuplicates(["token", "fp"]), "once")
+    sizes = written(once.groupBy("token").agg(F.count("*").alias("size")), "sizes")
+    shared = written(once.join(sizes, "token"), "shared")
+    discard(several, raw, once, sizes)
     stars = shared.where(F.col("size") > PAIRS_UP_TO).where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
     few = shared.where(F.col("size") <= PAIRS_UP_TO)
     members = F.array_sort(F.collect_list(F.struct("fp", "n", "need")))  # PAIRS_UP_TO at most
@@ -365,6 +366,7 @@ def _classed(docs: DataFrame, k: int, percent: int, doc_col: str, text_col: str)
     nodes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     heads = written(prefixes(docs, frequent, k, percent, text_col), "prefixes")
     edges = written(candidate_edges(heads, percent), "edges")
+    discard(seen, heads)
     groups = written(components(edges).withColumnRenamed("node", "fp").join(nodes, "fp"), "groups")
     found = _sets_of(docs, groups, k, doc_col, text_col).groupBy("fp").agg(F.first("tokens").alias("tokens"))
     sets = written(found.join(groups.select("fp", "label"), "fp"), "sets")
@@ -373,6 +375,7 @@ def _classed(docs: DataFrame, k: int, percent: int, doc_col: str, text_col: str)
     classes = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id")
     # a table, so that the join below has a plain shuffle on either side and Spark can split a set that many rows share
     known = written(nodes.join(classes, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id")), "known")
+    discard(nodes, edges, groups, sets, named)
     return rows.join(known, "fp", "left").select("doc_id", "fp", "label", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

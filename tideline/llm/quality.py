@@ -28,13 +28,13 @@ THRESHOLD = 0.3
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of at most DICTIONARY_BYTES: trained, or of the samples' beginnings where they are too few."""
+    """A dictionary of at most DICTIONARY_BYTES: trained, or of pieces of all samples where they are too few to train on."""
     parts = [x[i : i + 2048] for x in samples for i in range(0, len(x), 2048)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        step = max(64, DICTIONARY_BYTES // max(1, len(samples)))
-        return b"".join(x[:step] for x in samples)[:DICTIONARY_BYTES]
+        stride = max(1, -(-sum(map(len, parts)) // DICTIONARY_BYTES))
+        return b"".join(parts[::stride])[:DICTIONARY_BYTES]
 
 
 class CompressionModel:

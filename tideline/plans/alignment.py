@@ -90,11 +90,13 @@ _SQL_TYPES = ", ".join(f"count(*) FILTER (event_type = '{t}') AS count_{t}, avg(
 
 
 @R.query(f"""WITH {STRICT}, g AS (SELECT effective_date, count(event_id) AS news_count, avg(value) AS mean_value, {_SQL_TYPES} FROM st WHERE effective_date IS NOT NULL GROUP BY 1)
-SELECT date, coalesce(news_count, 0) AS news_count, round(coalesce(mean_value, 0), 6) AS mean_value, {", ".join(f"coalesce(count_{t}, 0) AS count_{t}, round(coalesce(mean_value_{t}, 0), 6) AS mean_value_{t}" for t in TYPES)} FROM cal LEFT JOIN g ON g.effective_date = cal.date""")
+SELECT date, coalesce(news_count, 0) AS news_count, round(round(coalesce(mean_value, 0), 9), 6) AS mean_value, {", ".join(f"coalesce(count_{t}, 0) AS count_{t}, round(round(coalesce(mean_value_{t}, 0), 9), 6) AS mean_value_{t}" for t in TYPES)} FROM cal LEFT JOIN g ON g.effective_date = cal.date""")
 def alignment_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per calendar date the count and mean value, in all and per event type; 0 without events."""
     rows = strict(spark, sf_dir).withColumn("kinds", F.array("event_type"))
-    return rounded(features.daily(rows, calendar(spark, sf_dir), "event_id", "effective_date", TYPES, ["value"], "kinds").drop("rate"))
+    found = features.daily(rows, calendar(spark, sf_dir), "event_id", "effective_date", TYPES, ["value"], "kinds").drop("rate")
+    # sums of doubles depend on the order of rows; without their noise, means of 64 rows that lie between two sixth digits tie
+    return rounded(found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("mean_")}))
 
 
 @R.query(f"""WITH {STRICT}, a AS (SELECT effective_date AS d, count(*) AS n FROM st WHERE effective_date IS NOT NULL GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -114,6 +115,21 @@ def test_tone(spark):
     assert (got[1].lm_pos, got[1].lm_neg, got[1].lm_unc) == (0.5, 0.25, 0.25) and got[1].lm_net == 0.25
     assert got[2].lm_pos == 0 and got[2].lm_neg == 0.5 and got[3].lm_neg == 0.25 and got[4].lm_pos == 0.2 and got[5].lm_neg == 0.5
     assert got[6].n_tokens == 0 and got[7].n_tokens == 0 and not got[6].lm_has_hit
+    assert all(r.litigious == 0 and r.constraining == 0 for r in got.values())
+
+
+def test_tone_counts_all_marks_both_ways(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["GOOD", "BAD", "SUE", "SHALL", "MAYBE", "not", "plain", "x"]
+    lex = spark.createDataFrame([("GOOD", True, False, False, False, True), ("BAD", False, True, False, True, False), ("SUE", False, False, False, True, False), ("SHALL", False, False, True, False, True), ("SHALL", None, None, False, True, False), (None, True, True, True, True, True)], "word string, " + ", ".join(f"{m} boolean" for m in features.MARKS))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(60, "sue sue shall"), (61, None), (61, "bad")]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    inside = features.tone(docs, lex, "id", F.col("t")).collect()
+    last = next(r for r in inside if r.id == 60)
+    assert (last.litigious, last.constraining, last.lm_has_hit) == (3, 1, True)
+    assert [r.lm_has_hit for r in features.tone(spark.createDataFrame([(1, "sue")], "id int, t string"), lex, "id", F.col("t")).collect()] == [False]
+    monkeypatch.setattr(features, "LEXICON_ROWS", 0)
+    assert sorted(features.tone(docs, lex, "id", F.col("t")).collect()) == sorted(inside)
 
 
 def test_daily_counts_keep_empty_days(spark, rates):

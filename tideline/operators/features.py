@@ -13,6 +13,8 @@ from tideline.functions.text import tokens
 
 #: Words of a lexicon that is broadcast, at most.
 LEXICON_ROWS = 1_000_000
+#: Marks of a lexicon's words; a lexicon without one of them has no such words.
+MARKS = ("is_positive", "is_negative", "is_uncertainty", "is_litigious", "is_constraining")
 #: Two or more word characters (letters, digits, underscore), as functions.text.tokens.
 TOKEN = re.compile(r"\w{2,}")
 
@@ -49,10 +51,10 @@ def token_rows(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(key, F.posexplode(tokens(text)).alias("pos", "token")).withColumn("token", F.upper("token"))
 
 
-def _counted(docs: DataFrame, words: dict[str, tuple[bool, bool, bool]], key: str, text: Column, negators: frozenset[str], reach: int) -> DataFrame:
-    """(key, n_tokens, pos, neg, unc) of each row, counted inside the row: one pass, no shuffle."""
+def _counted(docs: DataFrame, words: dict[str, tuple[bool, ...]], key: str, text: Column, negators: frozenset[str], reach: int) -> DataFrame:
+    """(key, n_tokens, pos, neg, unc, lit, con) of each row, counted inside the row: one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # LEXICON_ROWS at most
-    kind = dict(docs.dtypes)[key]
+    kind, names = dict(docs.dtypes)[key], ["n_tokens", "pos", "neg", "unc", "lit", "con"]
 
     def run(batches):
         known = shared.value
@@ -60,21 +62,23 @@ def _counted(docs: DataFrame, words: dict[str, tuple[bool, bool, bool]], key: st
             sums = []
             for value in batch.column(1).to_pylist():
                 found = [t.upper() for t in TOKEN.findall(value or "")]
-                pos = neg = unc = 0
+                pos = neg = unc = lit = con = 0
                 for i, word in enumerate(found):
                     marks = known.get(word)
                     if marks:
-                        p, n, u = marks
+                        p, n, u, law, bound = marks
                         if p and negators.isdisjoint(found[max(0, i - reach) : i]):
                             pos += 1
                         elif p or n:
                             neg += 1
                         unc += u
-                sums.append((len(found), pos, neg, unc))
-            counts = [pa.array(c, pa.int64()) for c in zip(*sums, strict=True)] if sums else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts], names=["k", "n_tokens", "pos", "neg", "unc"])
+                        lit += law
+                        con += bound
+                sums.append((len(found), pos, neg, unc, lit, con))
+            counts = [pa.array(c, pa.int64()) for c in zip(*sums, strict=True)] if sums else [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts], names=["k", *names])
 
-    return docs.select(F.col(key).alias("k"), text.alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, pos long, neg long, unc long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), text.alias("t")).mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("k", key)
 
 
 def _joined(docs: DataFrame, lexicon: DataFrame, key: str, text: Column, negators: Sequence[str], reach: int) -> DataFrame:
@@ -82,27 +86,30 @@ def _joined(docs: DataFrame, lexicon: DataFrame, key: str, text: Column, negator
     words = docs.select(F.col(key), F.monotonically_increasing_id().alias("__id"), F.transform(tokens(text), lambda t: F.upper(t)).alias("__t"))
     flagged = F.transform("__t", lambda t, i: F.struct(t.alias("w"), F.exists(F.slice(F.col("__t"), F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), lambda p: p.isin(*negators)).alias("neg")))
     hit = words.select(key, "__id", F.size("__t").cast("long").alias("__n"), F.explode_outer(flagged).alias("x")).join(lexicon, F.col("x.w") == F.col("word"), "left")
-    p, n, u = (F.coalesce(F.col(c), F.lit(False)) for c in ("is_positive", "is_negative", "is_uncertainty"))
+    p, n, u, law, bound = (F.coalesce(F.col(c), F.lit(False)) for c in MARKS)
     negated = F.col("x.neg")
-    return hit.groupBy("__id", key).agg(F.max("__n").alias("n_tokens"), F.count_if(p & ~negated).alias("pos"), F.count_if((p & negated) | (~p & n)).alias("neg"), F.count_if(u).alias("unc")).drop("__id")
+    counts = {"pos": p & ~negated, "neg": (p & negated) | (~p & n), "unc": u, "lit": law, "con": bound}
+    return hit.groupBy("__id", key).agg(F.max("__n").alias("n_tokens"), *(F.count_if(c).alias(k) for k, c in counts.items())).drop("__id")
 
 
 def tone(docs: DataFrame, lexicon: DataFrame, key: str, text: Column, negators: Sequence[str] = ("NO", "NOT", "NEVER", "NONE", "WITHOUT"), reach: int = 3) -> DataFrame:
-    """Per row n_tokens, lm_neg, lm_pos, lm_unc (shares of tokens), lm_net = (pos-neg)/(pos+neg+1), lm_has_hit.
+    """Per row n_tokens, lm_neg, lm_pos, lm_unc (shares of tokens), lm_net = (pos-neg)/(pos+neg+1), lm_has_hit (of these
+    three kinds), and the counts litigious and constraining.
 
-    ``lexicon``: word, is_positive, is_negative, is_uncertainty. A positive word counts as negative if a negator stands
+    ``lexicon``: word and those of MARKS that it has. A positive word counts as negative if a negator stands
     among the ``reach`` tokens before it; a word in both lists is positive; negated negatives stay negative. Texts
     without tokens have zeros; a word that the lexicon repeats has the marks of all its rows."""
-    flags = ("is_positive", "is_negative", "is_uncertainty")
-    lexicon = lexicon.where("word is not null").groupBy("word").agg(*(F.max(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in flags))
+    mark = lambda c: F.max(F.coalesce(F.col(c), F.lit(False))) if c in lexicon.columns else F.lit(False)
+    lexicon = lexicon.where("word is not null").groupBy("word").agg(*(mark(c).alias(c) for c in MARKS))
     if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
-        sums = _counted(docs, {r[0]: (r[1], r[2], r[3]) for r in lexicon.collect()}, key, text, frozenset(negators), reach)
+        sums = _counted(docs, {r[0]: tuple(r)[1:] for r in lexicon.collect()}, key, text, frozenset(negators), reach)
     else:
         sums = _joined(docs, lexicon, key, text, negators, reach)
     share = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0)
     return sums.select(
         key, "n_tokens", share("neg").alias("lm_neg"), share("pos").alias("lm_pos"), share("unc").alias("lm_unc"),
         ((F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg") + 1)).alias("lm_net"), ((F.col("pos") + F.col("neg") + F.col("unc")) > 0).alias("lm_has_hit"),
+        F.col("lit").alias("litigious"), F.col("con").alias("constraining"),
     )
 
 

@@ -12,27 +12,30 @@ from .base import Registry, rounded, table
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
-#: An invented lexicon over frequent tokens: (word, positive, negative, uncertainty).
-LEXICON = [("THE", True, False, False), ("AND", True, True, False), ("OF", False, True, False), ("DE", False, True, True), ("ER", True, False, True), ("ION", False, False, True)]
+#: An invented lexicon over frequent tokens: (word, positive, negative, uncertainty, litigious, constraining).
+LEXICON = [
+    ("THE", True, False, False, False, True), ("AND", True, True, False, True, False), ("OF", False, True, False, False, False), ("DE", False, True, True, True, True),
+    ("ER", True, False, True, False, False), ("ION", False, False, True, False, False), ("WITH", False, False, False, True, False),
+]
 NEGATORS = ("IN", "LA", "TO")
-_LEX = ", ".join(f"('{w}', {p}, {n}, {u})" for w, p, n, u in LEXICON)
-TONE = f"""lex(word, p, n, u) AS (VALUES {_LEX}), d AS (SELECT doc_id, lang, source, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: upper(x)) AS t FROM documents),
+_LEX = ", ".join(str(row) for row in LEXICON)
+TONE = f"""lex(word, p, n, u, law, bound) AS (VALUES {_LEX}), d AS (SELECT doc_id, lang, source, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: upper(x)) AS t FROM documents),
 e AS (SELECT doc_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM d),
 g AS (SELECT doc_id, w, coalesce(max(CAST(w IN {NEGATORS} AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) = 1 AS neg FROM e),
-h AS (SELECT doc_id, count(*) FILTER (p AND NOT neg) AS pos, count(*) FILTER ((p AND neg) OR (NOT p AND n)) AS ng, count(*) FILTER (u) AS un FROM g JOIN lex ON lex.word = g.w GROUP BY doc_id),
-tone AS (SELECT d.doc_id, lang, source, CAST(len(t) AS BIGINT) AS n_tokens, coalesce(pos, 0) AS pos, coalesce(ng, 0) AS ng, coalesce(un, 0) AS un FROM d LEFT JOIN h USING (doc_id)),
+h AS (SELECT doc_id, count(*) FILTER (p AND NOT neg) AS pos, count(*) FILTER ((p AND neg) OR (NOT p AND n)) AS ng, count(*) FILTER (u) AS un, count(*) FILTER (law) AS lit, count(*) FILTER (bound) AS con FROM g JOIN lex ON lex.word = g.w GROUP BY doc_id),
+tone AS (SELECT d.doc_id, lang, source, CAST(len(t) AS BIGINT) AS n_tokens, coalesce(pos, 0) AS pos, coalesce(ng, 0) AS ng, coalesce(un, 0) AS un, coalesce(lit, 0) AS litigious, coalesce(con, 0) AS constraining FROM d LEFT JOIN h USING (doc_id)),
 s AS (SELECT doc_id, lang, source, n_tokens, CASE WHEN n_tokens > 0 THEN ng / n_tokens ELSE 0 END AS lm_neg, CASE WHEN n_tokens > 0 THEN pos / n_tokens ELSE 0 END AS lm_pos,
- CASE WHEN n_tokens > 0 THEN un / n_tokens ELSE 0 END AS lm_unc, (pos - ng) / (pos + ng + 1) AS lm_net, pos + ng + un > 0 AS lm_has_hit FROM tone)"""
+ CASE WHEN n_tokens > 0 THEN un / n_tokens ELSE 0 END AS lm_unc, (pos - ng) / (pos + ng + 1) AS lm_net, pos + ng + un > 0 AS lm_has_hit, litigious, constraining FROM tone)"""
 
 
 def toned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone of each document, with its language and source."""
     docs = table(spark, sf_dir, "documents")
-    lexicon = spark.createDataFrame(LEXICON, "word string, is_positive boolean, is_negative boolean, is_uncertainty boolean")
+    lexicon = spark.createDataFrame(LEXICON, "word string, " + ", ".join(f"{m} boolean" for m in features.MARKS))
     return features.tone(docs, lexicon, "doc_id", F.col("text"), NEGATORS).join(docs.select("doc_id", "lang", "source"), "doc_id")
 
 
-@R.query(f"WITH {TONE} SELECT doc_id, n_tokens, round(lm_neg, 6) AS lm_neg, round(lm_pos, 6) AS lm_pos, round(lm_unc, 6) AS lm_unc, round(lm_net, 6) AS lm_net, lm_has_hit FROM s")
+@R.query(f"WITH {TONE} SELECT doc_id, n_tokens, round(lm_neg, 6) AS lm_neg, round(lm_pos, 6) AS lm_pos, round(lm_unc, 6) AS lm_unc, round(lm_net, 6) AS lm_net, lm_has_hit, litigious, constraining FROM s")
 def lexicon_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone with negation of each document."""
     return rounded(toned(spark, sf_dir).drop("lang", "source"))

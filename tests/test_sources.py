@@ -19,6 +19,10 @@ LD = '<script type="application/ld+json">{"@graph":[{"@type":"Article","datePubl
         ('<script>window.__s = {"page":{"publishedDate":"2024-01-01T00:00:00+0000","sectionName":"Tech"}};</script>', "2024-01-01T00:00:00+0000", "structured.publishedDate", "Tech", "structured.sectionName"),
         ('<p>Published <time datetime="2024-02-02T01:00:00Z">x</time></p><p>Updated <time datetime="2024-03-03T01:00:00Z">', "2024-02-02T01:00:00Z", "rendered.time.datetime", "markets", "canonical_url_path_fallback"),
         ('<meta property="article:published_time" content="2024-01-01T00:00:00">', None, None, "markets", "canonical_url_path_fallback"),
+        ('<meta name="pubdate" content="2024-03-03T00:00:00Z"><meta property="article:published_time" content="2024-01-01T00:00:00Z">', "2024-03-03T00:00:00Z", "meta.pubdate", "markets", "canonical_url_path_fallback"),
+        ('<meta name="PubDate" content="2024-03-03"><meta property="og:article:published_time" content="2024-01-01T00:00:00Z">', "2024-01-01T00:00:00Z", "meta.og:article:published_time", "markets", "canonical_url_path_fallback"),
+        ('<script>a.b = {"published_at":"2024-01-02T00:00:00Z","x":{"datePublished":"2024-01-01T00:00:00Z","Section":"S"}};</script>', "2024-01-02T00:00:00Z", "structured.published_at", "S", "structured.Section"),
+        ('<script>a.b = {"published_at":"2024-01-02","datePublished":"2024-01-01T00:00:00Z"};</script>', None, None, "markets", "canonical_url_path_fallback"),
         ("", None, None, "markets", "canonical_url_path_fallback"),
         ('<script type="application/ld+json">{broken</script><p><b>unclosed', None, None, "markets", "canonical_url_path_fallback"),
     ],
@@ -32,7 +36,7 @@ def test_extract(spark):
     pages = spark.createDataFrame([(1, "https://n.org/2024/x", LD), (2, None, None)], "page_id int, url string, html string")
     got = {r.id: r for r in articles.extract(pages).collect()}
     assert got[1].timestamp_status == "exact_publisher_timestamp" and got[1].published_at_utc.hour == 3 and got[1].published_local.hour == 10
-    assert got[1].keywords == ["war", "oil"] and got[1].categories == ["oil", "war", "World"] and got[1].authors == ["A B"]
+    assert got[1].keywords == ["oil", "war"] and got[1].categories == ["oil", "war", "World"] and got[1].authors == ["A B"]
     assert got[2].timestamp_status == "missing_publisher_timestamp" and got[2].section is None
 
 

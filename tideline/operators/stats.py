@@ -44,8 +44,14 @@ def mcnemar_p(b: int, c: int) -> float:
 
 
 def binomial_p(successes: int, n: int, rate: float) -> float:
-    """P(X >= successes) of a binomial with the rate."""
-    return min(1.0, sum(math.comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(successes, n + 1)))
+    """P(X >= successes) of a binomial with the rate; terms by logarithms, so that any number of rows goes."""
+    if successes <= 0:
+        return 1.0
+    if not 0 < rate < 1:
+        return float(rate >= 1 and successes <= n)
+    whole = math.lgamma(n + 1)
+    term = lambda k: whole - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
+    return min(1.0, math.fsum(math.exp(term(k)) for k in range(successes, n + 1)))
 
 
 def bootstrap_starts(spark, n: int, block: int, resamples: int, seed: int = 42) -> DataFrame:
@@ -100,3 +106,10 @@ def decision(accuracy_a: float, accuracy_b: float, f1_a: float, f1_b: float, p:
     """improves if both metrics are better and the paired test agrees, else inconclusive or no_improvement."""
     better = accuracy_a > accuracy_b and f1_a > f1_b
     return "improves" if better and p < alpha else "inconclusive" if better else "no_improvement"
+
+
+def best_by_accuracy(judged: DataFrame, order: str, name: str = "model") -> DataFrame:
+    """One row, the ``name`` of the largest accuracy as ``best`` and its accuracy; of equal ones that first by ``order``.
+    Models without an accuracy take no part."""
+    key = F.when(F.col("accuracy").isNotNull() & ~F.isnan("accuracy"), F.struct(-F.col("accuracy"), F.col(order)))
+    return judged.agg(F.min_by(name, key).alias("best"), F.min_by("accuracy", key).alias("accuracy"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.values import parse_aware
 
-#: Names under which pages give a publication time, in order of preference.
+#: Names under which pages give a publication time or a section. Which of them a page gives first counts.
 META_TIMES = ("article:published_time", "og:article:published_time", "datePublished", "parsely-pub-date", "sailthru.date", "pubdate")
 STATE_TIMES = ("datePublished", "publishedDate", "publishDate", "published_at")
 STATE_SECTIONS = ("articleSection", "sectionName", "section")
@@ -124,14 +124,26 @@ def _kinds(node: dict) -> list[str]:
     return [k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str)]
 
 
+def _sorted(values: Iterable[str]) -> list[str]:
+    """The distinct values that aren't blank, without regard to case in their order."""
+    return sorted({v.strip() for v in values} - {""}, key=lambda v: (v.casefold(), v))
+
+
 def _texts(value) -> list[str]:
     parts = value.split(",") if isinstance(value, str) else value if isinstance(value, list) else []
-    return [p.strip() for p in parts if isinstance(p, str) and p.strip()]
+    return _sorted(str(p) for p in parts if isinstance(p, str | int | float))
+
+
+def _first_named(pairs: Iterable[tuple[str, object]], names: Iterable[str]) -> Iterator[tuple[object, str]]:
+    """(value, name as the page spells it) of the pairs with one of the names in either case, in the page's order."""
+    wanted = {n.casefold() for n in names}
+    return ((v, k) for k, v in pairs if k.casefold() in wanted and v not in (None, "", []) and not (isinstance(v, str) and not v.strip()))
 
 
 def metadata(html: str | None, url: str | None) -> dict:
     """published, timestamp_source, section, section_source, headline, canonical_url, keywords, authors, lang of a page.
-    Times need an offset. Null or empty pages have none of these but a section from the address."""
+    Times need an offset. Among tags, and among the values of embedded state, the first in the page counts; keywords and
+    authors are sorted sets. Null or empty pages have none of these but a section from the address."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -145,8 +157,9 @@ def metadata(html: str | None, url: str | None) -> dict:
     articles = sorted((n for n in nodes if {"NewsArticle", "Article"} & set(_kinds(n))), key=lambda n: "NewsArticle" not in _kinds(n))
     primary = articles[0] if articles else {}
     states = [n for kind, body in page.scripts if kind != "application/ld+json" for m in re.finditer(r"[\w.$\]]\s*=\s*(?=[{\[])", body) for n in walk(_decoded(body, m.end()))]
-    meta = lambda names: next(((v, n) for n in names for k, v in page.meta if k.lower() == n.lower() and v.strip()), (None, None))
-    state = lambda names: next(((n[k], k) for k in names for n in states if isinstance(n.get(k), str) and n[k].strip()), (None, None))
+    none = (None, None)
+    meta = lambda names: next(_first_named(page.meta, names), none)
+    state = lambda names: next(_first_named((pair for n in states for pair in n.items()), names), none)
     good = lambda v: isinstance(v, str) and bool(_AWARE.match(v.strip()))
 
     published = source = None
@@ -155,12 +168,12 @@ def metadata(html: str | None, url: str | None) -> dict:
             published, source, primary = n["datePublished"], "jsonld.datePublished", n
             break
     if published is None:
-        published, source = next(((v, f"meta.{n}") for n in META_TIMES for k, v in page.meta if k.lower() == n.lower() and good(v)), (None, None))
+        published, source = next(((v, f"meta.{k}") for v, k in _first_named(page.meta, META_TIMES) if good(v)), none)
     if published is None:
         v, k = state(STATE_TIMES)
-        published, source = (v, f"structured.{k}") if good(v) else (None, None)
+        published, source = (v, f"structured.{k}") if good(v) else none
     if published is None:
-        published, source = next(((v, "rendered.time.datetime") for v, words in page.times if "publish" in " ".join(" ".join(words).split()).casefold() and good(v)), (None, None))
+        published, source = next(((v, "rendered.time.datetime") for v, words in page.times if "publish" in " ".join(" ".join(words).split()).casefold() and good(v)), none)
 
     text = lambda v: v.strip() if isinstance(v, str) and v.strip() else None
     section, section_source = text(primary.get("articleSection")), "jsonld.articleSection"
@@ -180,8 +193,8 @@ def metadata(html: str | None, url: str | None) -> dict:
     headline = text(primary.get("headline")) or text(meta(("og:title", "twitter:title"))[0]) or text(" ".join(page.title.split()))
     return {
         "published": text(published), "timestamp_source": source, "section": section, "section_source": section_source if section else None, "subsection": text(subsection), "headline": headline,
-        "canonical_url": page.canonical, "keywords": keywords, "categories": sorted({x for x in [section, text(subsection), *keywords] if x}, key=lambda x: (x.casefold(), x)),
-        "authors": [a.strip() for a in authors if isinstance(a, str) and a.strip()], "lang": page.lang,
+        "canonical_url": page.canonical, "keywords": keywords, "categories": _sorted(x for x in [section, text(subsection), *keywords] if x),
+        "authors": _sorted(a for a in authors if isinstance(a, str)), "lang": page.lang,
     }
 
 

@@ -1,4 +1,4 @@
-from datetime import UTC, date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +82,16 @@ def test_split_window(spark):
     assert len(n) == 96 and n[-1].end - n[-1].start == timedelta(minutes=22)
 
 
+def test_padded_window():
+    zone = timezone(timedelta(hours=7))
+    start, end = datetime(2024, 1, 1, 7, tzinfo=zone), datetime(2024, 1, 1, 8, tzinfo=zone)
+    assert values.padded_window(start, end) == ("20231231235959", "20240101010001")
+    assert values.padded_window(start, end, 0) == ("20240101000000", "20240101010000")
+    for bad in [(start, start + timedelta(minutes=14)), (end, start), (start.replace(tzinfo=None), end), (start, end, -1), (start, end, 1.5)]:
+        with pytest.raises(ValueError):
+            values.padded_window(*bad)
+
+
 def test_build_query():
     assert values.build_query(["war", "trade  deal", "us-china"], "News.org") == '(war OR "trade deal" OR "us-china") domain:news.org sourcelang:english'
     for bad in (["OR"], ['a"b'], [], "war", ["a(b"], ["a\x01"]):

@@ -165,6 +165,18 @@ def test_metrics_and_tests(spark):
     assert stats.binomial_p(0, 5, 0.3) == pytest.approx(1) and stats.binomial_p(5, 5, 0.5) == pytest.approx(1 / 32)
 
 
+def test_binomial_of_many_rows_and_best_model(spark):
+    import math
+
+    exact = lambda x, n, p: min(1.0, math.fsum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x, n + 1)))
+    for x, n, p in [(0, 5, 0.3), (3, 5, 0.3), (5, 5, 0.3), (200, 400, 0.52), (6, 5, 0.3), (2, 5, 0.0), (2, 5, 1.0)]:
+        assert stats.binomial_p(x, n, p) == pytest.approx(exact(x, n, p), abs=1e-10)
+    assert stats.binomial_p(25_300, 50_000, 0.5) == pytest.approx(0.0037, abs=3e-4)
+    judged = spark.createDataFrame([(2, "b", 0.7), (1, "a", 0.7), (0, "z", 0.6), (3, "n", None), (4, "q", float("nan"))], "place int, model string, accuracy double")
+    assert [tuple(r) for r in stats.best_by_accuracy(judged, "place").collect()] == [("a", 0.7)]
+    assert [tuple(r) for r in stats.best_by_accuracy(judged.limit(0), "place").collect()] == [(None, None)]
+
+
 def test_tfidf_ignores_text_outside_the_fit(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta gamma"), (3, "alpha alpha delta"), (4, "omega omega")], "id int, t string")
     fit = docs.where("id <= 3")

@@ -151,6 +151,61 @@ def test_sinks(spark, tmp_path):
     assert before == sinks.sha256_file(str(tmp_path / "m.json"))
 
 
+def test_output_of_a_source(tmp_path):
+    source, out, report = (str(tmp_path / n) for n in ("in.csv", "out.csv", "r.json"))
+    (tmp_path / "in.csv").write_text("1\n")
+    saved = lambda: json.loads((tmp_path / "r.json").read_text())
+    assert sinks.from_source(source, out, report, lambda s, o: {"n": (tmp_path / "out.csv").write_text("2\n")})["output_valid"]
+    assert saved()["status"] == "passed" and saved()["n"] == 2 and (tmp_path / "out.csv").exists()
+
+    def fails(s, o):
+        assert not (tmp_path / "out.csv").exists() and saved()["status"] == "running"
+        (tmp_path / "out.csv").mkdir()
+        (tmp_path / "out.csv/part").write_text("half")
+        raise ValueError("broken")
+
+    with pytest.raises(ValueError, match="broken"):
+        sinks.from_source(source, out, report, fails)
+    assert saved()["status"] == "failed" and not saved()["output_valid"] and not (tmp_path / "out.csv").exists()
+    with pytest.raises(ValueError, match="changed"):
+        sinks.from_source(source, out, report, lambda s, o: (tmp_path / "out.csv").write_text("2") and (tmp_path / "in.csv").write_text("3") and None)
+    assert not (tmp_path / "out.csv").exists()
+    with pytest.raises(ValueError, match="overlap"):
+        sinks.from_source(source, source, report, fails)
+
+
+def test_split_export(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2024-01-0{i}", i, s, i % 2) for i, s in enumerate(["train", "train", "purged", "validation", "purged", "test"], 1)], "date string, x int, split string, y int")
+    with pytest.raises(ValueError):
+        sinks.export_splits(rows, str(tmp_path / "s"), expected={"train": 3, "validation": 1, "test": 1})
+    assert not (tmp_path / "s").exists()
+    got = sinks.export_splits(rows, str(tmp_path / "s"), str(tmp_path / "s.json"), expected={"train": 2, "validation": 1, "test": 1})
+    assert got == json.loads((tmp_path / "s.json").read_text()) and got["purged_dates"] == ["2024-01-03", "2024-01-05"] and got["columns"] == ["date", "x", "y"]
+    assert got["splits"]["train"] == {"rows": 2, "start_date": "2024-01-01", "end_date": "2024-01-02", "share_positive": 0.5} and "purged" not in got["splits"]
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 6
+
+
+def test_bounded_settings():
+    assert config.bounded({"a": 3}, "a", 1, 1, 5, whole=True) == 3 and config.bounded({}, "a", 2, 1) == 2.0
+    for bad in (True, "3", 0, 6, float("nan"), float("inf"), None):
+        with pytest.raises(ValueError):
+            config.bounded({"a": bad}, "a", 1, 1, 5)
+    with pytest.raises(ValueError):
+        config.bounded({"a": 2.5}, "a", 1, 1, 5, whole=True)
+
+
+def test_settings(tmp_path):
+    if config.yaml is None:
+        pytest.skip("no YAML here")
+    (tmp_path / "c.yaml").write_text("a: 1\n")
+    (tmp_path / "t.yaml").write_text("oil_gas: {keywords: [oil]}\n")
+    assert config.load_settings(str(tmp_path / "c.yaml"), str(tmp_path / "t.yaml")) == ({"a": 1}, {"oil_gas": {"keywords": ["oil"]}})
+    for text in ("{}\n", "'a b': {keywords: [x]}\n", "__: {keywords: [x]}\n", "a: {keywords: x}\n", "a: [x]\n", "1: {keywords: [x]}\n"):
+        (tmp_path / "t.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            config.load_settings(str(tmp_path / "c.yaml"), str(tmp_path / "t.yaml"))
+
+
 def test_config(tmp_path):
     if config.yaml is None:
         pytest.skip("no YAML here")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +115,18 @@ def window_leaves(start: Column, end: Column, min_minutes: int = 15) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(at(i).alias("start"), F.when(i == n - 1, end).otherwise(at(i + 1)).alias("end")))
 
 
+def padded_window(start: datetime, end: datetime, padding: int = 1, least: int = 15) -> tuple[str, str]:
+    """The bounds to ask a service for, YYYYMMDDHHMMSS in UTC: the window with ``padding`` seconds around it, since what
+    services do at bounds differs; in_scope cuts the answer to [start, end). Windows below ``least`` minutes are an error."""
+    if type(padding) is not int or padding < 0:
+        raise ValueError("padding is a whole number of seconds")
+    first, last = window_marks(start, end, least)[0], end
+    if last - first < timedelta(minutes=least):
+        raise ValueError(f"a window has {least} minutes at least")
+    text = lambda t: t.astimezone(UTC).strftime("%Y%m%d%H%M%S")
+    return text(first - timedelta(seconds=padding)), text(last + timedelta(seconds=padding))
+
+
 def backoff_seconds(attempt: int, first: float, most: float) -> float:
     """Seconds to wait before retry ``attempt`` (from 0): doubled each time, at most ``most``."""
     return min(first * 2**attempt, most)

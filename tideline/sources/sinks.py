@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import tempfile
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -70,17 +71,59 @@ def write_dispositions(df: DataFrame, folder: str, column: str = "disposition",
     return {k: counts.get(k, 0) for k in kinds}
 
 
-def export_splits(rows: DataFrame, path: str) -> None:
-    """One folder per split."""
+def export_splits(rows: DataFrame, path: str, summary_path: str | None = None, date_col: str = "date", target: str = "y", expected: Mapping[str, int] | None = None) -> dict:
+    """One folder per split, and their summary (also as JSON at ``summary_path``): rows, bounds and share of positives of
+    each, the purged dates, the columns. Sizes other than the ``expected`` ones are an error, before anything is written."""
+    found = rows.groupBy("split").agg(F.count("*").alias("rows"), F.min(date_col).cast("string").alias("start_date"), F.max(date_col).cast("string").alias("end_date"), F.round(F.avg(target), 4).alias("share_positive"))
+    parts = {r["split"]: {k: r[k] for k in ("rows", "start_date", "end_date", "share_positive")} for r in found.collect()}
+    parts.pop("purged", None)
+    sizes = {k: v["rows"] for k, v in parts.items()}
+    if expected is not None and dict(expected) != sizes:
+        raise ValueError(f"the splits have {sizes} rows, expected were {dict(expected)}")
+    purged = [str(r[0]) for r in rows.where("split = 'purged'").select(date_col).orderBy(date_col).collect()]  # the purge width, twice
     write_table(rows, path, ["split"])
+    summary = {"splits": parts, "purged_dates": purged, "columns": [c for c in rows.columns if c != "split"]}
+    if summary_path is not None:
+        write_json(summary_path, summary)
+    return summary
 
 
 def sha256_file(path: str) -> str:
-    """Digest of a file of the driver's; compare before and after reading to know that it didn't change."""
+    """Digest of a file of the driver's."""
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def _remove(path: str) -> None:
+    target = Path(path)
+    if target.is_dir() and not target.is_symlink():
+        shutil.rmtree(target)
+    else:
+        target.unlink(missing_ok=True)
+
+
+def from_source(source: str, output: str, report_path: str, make: Callable[[str, str], Mapping | None]) -> dict:
+    """Runs ``make(source, output)``, which writes ``output`` (a file or folder of the driver's) and may return facts for
+    the report, a JSON file. An older output goes first and a partial one on failure, so that what is there is valid; the
+    source must not change meanwhile. Errors are noted in the report and raised."""
+    distinct_paths(source, output, report_path)
+    report = {"status": "running", "output_valid": False, "source": source, "output": output, "started": datetime.now(UTC).isoformat()}
+    write_json(report_path, report)
+    _remove(output)
+    try:
+        report["source_sha256"] = sha256_file(source)
+        report |= make(source, output) or {}
+        if sha256_file(source) != report["source_sha256"]:
+            raise ValueError(f"{source} changed while it was read")
+    except BaseException as e:
+        _remove(output)
+        write_json(report_path, report | {"status": "failed", "output_valid": False, "error": str(e)[:500]})
+        raise
+    report |= {"status": "passed", "output_valid": True}
+    write_json(report_path, report)
+    return report
+
+
 class Manifest:
     """The stages of a run with their state, saved after each change; a failure is saved, too."""
 

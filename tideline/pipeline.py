@@ -60,8 +60,8 @@ def reconcile(stages: Mapping[str, DataFrame]) -> dict[str, int | bool]:
 
 def evaluate(rates: DataFrame, text: DataFrame | None = None, names: Sequence[str] = ("B2",), grid: dict | None = None, warmup: int = 20, block: int = 10, resamples: int = 500, seed: int = 42, walk: bool = False) -> dict:
     """Baselines and logistic models on the series, with daily text features if given: tuned on validation, refitted on
-    train and validation, judged once on test, compared with the first model by a paired test. Returns a report of
-    plain values; raises ValueError where a leakage check fails."""
+    train and validation, judged once on test, compared with the first model by a paired test; best names that of the
+    largest accuracy among the compared ones. Returns a report of plain values; raises ValueError where a leakage check fails."""
     table = features.price_features(rates)
     if text is not None:
         table = features.modeling_table(table, text)
@@ -94,6 +94,8 @@ def evaluate(rates: DataFrame, text: DataFrame | None = None, names: Sequence[st
         a, b = report["models"][name], report["models"][names[0]]
         p = stats.mcnemar_p(d["b"], d["c"])
         report["models"][name] |= {"mcnemar_p": p, "decision": stats.decision(a["accuracy"], b["accuracy"], a["macro_f1"], b["macro_f1"], p)}
+    if len(names) > 1:
+        report["best"] = max(names[1:], key=lambda name: report["models"][name]["accuracy"])  # the first of equal ones
     if walk:
         months = splits.month_folds(rows)
         report["walk_forward"] = [r.asDict() for name in names for r in models.walk_forward(rows, columns[name], report["models"][name]["params"], name.lower(), months).collect()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.values import window_leaves
 from tideline.operators import calendar as cal
-from tideline.operators import envelopes, features
+from tideline.operators import envelopes, features, models
 
 from .base import Registry, rounded, table
 
@@ -172,3 +172,22 @@ def collection_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days by topics by domains."""
     events = table(spark, sf_dir, "events")
     return envelopes.job_list(events.select(F.to_date("ts").alias("day")).distinct(), events.select(F.col("event_type").alias("topic")).distinct(), table(spark, sf_dir, "region").select(F.col("r_name").alias("domain")))
+
+
+@R.query(f"""WITH {STRICT}, g AS (SELECT effective_date, avg(value) AS a, avg(event_id % 7) AS b FROM st WHERE effective_date IS NOT NULL GROUP BY 1)
+SELECT date, round(round(coalesce(a, 0), 9), 6) AS svd_0, round(round(coalesce(b, 0), 9), 6) AS svd_1 FROM cal LEFT JOIN g ON g.effective_date = cal.date""")
+def calendar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors of the aligned events on each calendar date, 0 without any."""
+    rows = strict(spark, sf_dir).select("effective_date", F.array(F.col("value"), (F.col("event_id") % 7).cast("double")).alias("svd"))
+    found = models.daily_vectors(rows, "effective_date", 2, calendar(spark, sf_dir))
+    return rounded(found.withColumns({c: F.round(c, 9) for c in ("svd_0", "svd_1")}))
+
+
+@R.query("""SELECT user_id, event_type, count(*) AS n, (user_id % 3 <> 0) AND (count(DISTINCT event_id % 50) = count(*) OR user_id % 2 = 0) AS intact FROM events GROUP BY user_id, event_type""")
+def envelope_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of each user's events by type: whether they hold what they report, without repeats over pages."""
+    u = F.col("user_id")
+    records = F.collect_list(F.struct((F.col("event_id") % 50).cast("string").alias("url"))).alias("records")
+    found = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(records)
+    found = found.withColumns({"reported_total_count": F.size("records") + (u % 3 == 0).cast("int"), "pages": u % 2 + 1})
+    return envelopes.integrity(found).select("user_id", "event_type", F.size("records").cast("long").alias("n"), "intact")

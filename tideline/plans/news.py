@@ -241,3 +241,46 @@ def archive_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "pages").select("url", F.lit("t").alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 9).cast("int")).cast("string").alias("discovered_for_date"))
     found = dedup.clean_archive(records, HOSTS, "www.example.org")
     return found.groupBy("disposition").agg(F.count("*").alias("n"), F.count_distinct("normalized_url").alias("addresses"))
+
+
+_ARCHIVE = f"""b AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 28 AS INT) AS day, CASE WHEN page_id % 3 = 0 THEN '' ELSE 't' || (page_id % 5) END AS title, CASE WHEN page_id % 11 = 0 THEN 'other.org' ELSE '{HOSTS[0]}' END AS host FROM pages),
+r AS (SELECT *, strftime(day + CAST(page_id % 2 AS INT), '%Y-%m-%d') AS found, 'https://' || host || '/' || strftime(day, '%Y/%m/%d') || '/w' || (page_id % 40) || '.html?x=' || (page_id % 3) AS url FROM b),
+k AS (SELECT *, 'https://www.example.org/' || strftime(day, '%Y/%m/%d') || '/w' || (page_id % 40) || '.html' AS normalized_url, '{{"discovered_for_date":"' || found || '","title":"' || title || '","url":"' || url || '"}}' AS o FROM r WHERE host = '{HOSTS[0]}' AND day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')"""
+
+
+@R.query(f"""WITH {_ARCHIVE} SELECT sha256(normalized_url) AS article_id, normalized_url, arg_min(url, o) AS original_url, coalesce(arg_min(title, o) FILTER (title <> ''), '') AS title, min(day) AS publication_date,
+array_to_string(list_sort(list_distinct(list(found))), ',') AS discovered_for_dates, count(*) AS source_record_count,
+array_to_string(list_filter([CASE WHEN bool_or(title = '') THEN 'missing_title' END, CASE WHEN bool_or(found <> strftime(day, '%Y-%m-%d')) THEN 'url_date_differs_from_archive_date' END], lambda x: x IS NOT NULL), ',') AS quality_flags FROM k GROUP BY normalized_url""")
+def archive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archive records of made-up addresses, inside a range of dates, merged per address."""
+    i = F.col("page_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 28).cast("int"))
+    host = F.when(i % 11 == 0, "other.org").otherwise(HOSTS[0])
+    url = F.concat(F.lit("https://"), host, F.lit("/"), F.date_format(day, "yyyy/MM/dd"), F.lit("/w"), (i % 40).cast("string"), F.lit(".html?x="), (i % 3).cast("string"))
+    title = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("t"), (i % 5).cast("string")))
+    records = table(spark, sf_dir, "pages").select(url.alias("url"), title.alias("title"), F.date_add(day, (i % 2).cast("int")).cast("string").alias("discovered_for_date"))
+    merged = dedup.merge_archive(dedup.clean_archive(records, HOSTS, "www.example.org", "2024-01-05", "2024-01-20"), ["url", "title", "discovered_for_date"])
+    return merged.withColumns({c: F.array_join(c, ",") for c in ("discovered_for_dates", "quality_flags")})
+
+
+@R.query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN d || 'T00:00:00Z' WHEN 1 THEN d || 'T08:30:00+07:00' WHEN 2 THEN d || 'T01:00:00Z' WHEN 3 THEN d || 'T02:00:00Z' END AS published,
+CASE page_id % 5 WHEN 0 THEN 'meta.pubdate' WHEN 1 THEN 'meta.article:published_time' WHEN 2 THEN 'structured.published_at' WHEN 3 THEN 'jsonld.datePublished' END AS timestamp_source,
+CASE page_id % 5 WHEN 0 THEN TIMESTAMP '2024-01-01' WHEN 1 THEN TIMESTAMP '2024-01-01 01:30:00' WHEN 2 THEN TIMESTAMP '2024-01-01 01:00:00' WHEN 3 THEN TIMESTAMP '2024-01-01 02:00:00' END + CAST(page_id % 28 AS INT) * INTERVAL 1 DAY AS utc,
+CASE WHEN page_id % 5 = 3 THEN 'alpha,Beta,gamma' ELSE '' END AS keywords, CASE WHEN page_id % 5 = 3 THEN 'Ann,bob' ELSE '' END AS authors, CASE WHEN page_id % 5 = 4 THEN 'missing_publisher_timestamp' ELSE 'exact_publisher_timestamp' END AS timestamp_status
+FROM (SELECT page_id, strftime(DATE '2024-01-01' + CAST(page_id % 28 AS INT), '%Y-%m-%d') AS d FROM pages)""")
+def article_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times, keywords and authors of the pages, to which tags are added that compete with each other."""
+    i = F.col("page_id")
+    heads = [
+        '<meta name="pubdate" content="{d}T00:00:00Z"><meta property="article:published_time" content="2020-01-01T00:00:00Z">',
+        '<meta name="pubdate" content="{d}"><meta property="article:published_time" content="{d}T08:30:00+07:00"><meta name="sailthru.date" content="2020-01-01T00:00:00Z">',
+        '<script>w.s = {"published_at":"{d}T01:00:00Z","page":{"datePublished":"2020-01-01T00:00:00Z"}};</script>',
+        '<meta name="pubdate" content="2020-01-01T00:00:00Z"><script type="application/ld+json">[{"@type":"Article","datePublished":"2020-01-01T00:00:00Z"},'
+        '{"@type":"NewsArticle","datePublished":"{d}T02:00:00Z","keywords":["gamma","Beta"," alpha ","gamma",""],"author":[{"name":"bob"},"Ann",{"name":"bob"}]}]</script>',
+        '<meta name="pubdate" content="{d}T00:00:00">',
+    ]
+    head = F.element_at(F.array(*(F.lit(h) for h in heads)), (i % 5 + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 28).cast("int")), "yyyy-MM-dd")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.replace(head, F.lit("{d}"), day), F.coalesce("html", F.lit(""))).alias("html"))
+    found = articles.extract(pages).withColumn("utc", F.col("published_at_utc").cast("timestamp_ntz"))
+    return found.select(F.col("id").alias("page_id"), "published", "timestamp_source", "utc", F.array_join("keywords", ",").alias("keywords"), F.array_join("authors", ",").alias("authors"), "timestamp_status")

@@ -148,3 +148,54 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of each month that has enough rows before it, predicted from all of them."""
     rows = model_rows(spark, sf_dir)
     return models.walk_forward(rows, PRICE_COLUMNS, {"C": 1.0, "penalty": "l2", "class_weight": None}, "b2", splits.month_folds(rows))
+
+
+@R.query(f"""WITH {FEATURES}, u AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS urgent, round(max(o_totalprice), 6) AS rate_nlp FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1)
+SELECT m.date, rate, y, coalesce(urgent, 0) AS urgent, coalesce(rate_nlp, 0) AS rate_nlp FROM m LEFT JOIN u USING (date) WHERE row >= 20 AND y IS NOT NULL""")
+def modeling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price rows with features of the urgent orders of the date, whose rate gets a suffix; 0 without any."""
+    urgent = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).groupBy(day("o_orderdate").alias("date"))
+    joined = features.modeling_table(features.price_features(series(spark, sf_dir)), urgent.agg(F.count("*").alias("urgent"), F.round(F.max("o_totalprice"), 6).alias("rate")))
+    return features.modeling_rows(joined).select("date", "rate", "y", "urgent", "rate_nlp")
+
+
+_BOTH = f"""{MODEL}, g AS (SELECT avg(y) AS s FROM p WHERE split = 'train'), c AS (SELECT y, CAST((SELECT s FROM g) >= 0.5 AS INT) AS p0, CAST(ret > 0 AS INT) AS p1 FROM p WHERE split = 'test'),
+l AS (SELECT 0 AS place, 'b0' AS model, y, p0 AS q FROM c UNION ALL SELECT 1, 'b1', y, p1 FROM c),
+e AS (SELECT place, model, count(*) AS n, count(*) FILTER (y = 1 AND q = 1) AS tp, count(*) FILTER (y = 0 AND q = 0) AS tn, count(*) FILTER (y = 0 AND q = 1) AS fp, count(*) FILTER (y = 1 AND q = 0) AS fn FROM l GROUP BY 1, 2),
+j AS (SELECT place, model, {METRICS} FROM e)"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both baselines on the test split, with their metrics."""
+    rows = splits.baselines(model_rows(spark, sf_dir)).where("split = 'test'")
+    long = rows.select("y", F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(f"b{i}").alias("model"), F.col(f"b{i}_pred").alias("q")) for i in range(2)))).alias("x"))
+    return stats.metrics(stats.confusion(long.select("y", "x.*"), "y", "q", ["place", "model"]))
+
+
+@R.query(f"WITH {_BOTH} SELECT model AS best, accuracy FROM j ORDER BY accuracy DESC, place LIMIT 1")
+def best_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of the largest accuracy, the first of equal ones."""
+    return rounded(stats.best_by_accuracy(judged(spark, sf_dir), "place"))
+
+
+# sums of logarithms give the binomial terms; erf(x) = 2/sqrt(pi) exp(-x^2) sum 2^k x^(2k+1) / (2k+1)!!, whose terms are all positive
+_CHI = "(CASE WHEN x > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * (SELECT sum(exp(2 * k * ln(2) + (2 * k + 1) * ln(x) - x * x + lgamma(k + 1) - lgamma(2 * k + 2))) FROM range(0, 400) t(k)) END)"
+
+
+@R.query(f"""WITH {_BOTH}, d AS (SELECT CAST(count(*) FILTER (p1 = y AND p0 <> y) AS BIGINT) AS b, CAST(count(*) FILTER (p1 <> y AND p0 = y) AS BIGINT) AS c, CAST(count(*) FILTER (p1 = y) AS BIGINT) AS hits, count(*) AS n FROM c),
+v AS (SELECT *, b + c AS m, abs(abs(b - c) - 1) / sqrt(2.0 * greatest(b + c, 1)) AS x, greatest((SELECT s FROM g), 1 - (SELECT s FROM g)) AS rate FROM d),
+h AS (SELECT b, c, hits, n, CASE WHEN m = 0 THEN 1 WHEN m < 25 THEN least(1, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) - m * ln(2))) FROM range(0, 25) t(k) WHERE k <= least(b, c))) WHEN x = 0 THEN 1 ELSE {_CHI} END AS mcnemar_p,
+ least(1, (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate))) FROM range(0, 100000) t(k) WHERE k BETWEEN hits AND n)) AS binomial_p FROM v),
+w AS (SELECT max(accuracy) FILTER (place = 1) > max(accuracy) FILTER (place = 0) AND max(macro_f1) FILTER (place = 1) > max(macro_f1) FILTER (place = 0) AS better FROM j)
+SELECT b, c, hits, n, round(mcnemar_p, 6) AS mcnemar_p, round(binomial_p, 6) AS binomial_p, CASE WHEN better AND mcnemar_p < 0.05 THEN 'improves' WHEN better THEN 'inconclusive' ELSE 'no_improvement' END AS decision FROM h, w""")
+def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persistence against the majority: paired test, binomial tail against the majority's rate, decision."""
+    rows = splits.baselines(model_rows(spark, sf_dir))
+    test = rows.where("split = 'test'")
+    b, c = stats.discordant(test, "y", "b1_pred", "b0_pred").head()
+    rate = rows.where("split = 'train'").agg(F.avg("y")).head()[0]
+    first, second = judged(spark, sf_dir).orderBy("place").collect()
+    hits, n, p = second["tp"] + second["tn"], second["n"], stats.mcnemar_p(b, c)
+    verdict = stats.decision(second["accuracy"], first["accuracy"], second["macro_f1"], first["macro_f1"], p)
+    made = [(b, c, hits, n, p, stats.binomial_p(hits, n, max(rate, 1 - rate)), verdict)]
+    return rounded(spark.createDataFrame(made, "b long, c long, hits long, n long, mcnemar_p double, binomial_p double, decision string"))

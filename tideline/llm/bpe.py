@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cols, ddl, table, text_chunks
+from .common import cols, ddl, table, text_chunks, unused, with_text
 
 #: Fixed value: the pattern by which byte-level BPE of this family cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -215,7 +215,7 @@ def encode_texts(docs: DataFrame, definition: str, text_col: str = "text", with_
     stay. The occurrence of a special token's string in a text becomes its id. Narrow: no shuffle."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition)  # a vocabulary: its size doesn't depend on the data
-    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    picked = with_text(docs, keep, text_col)
     schema = ddl(docs, keep) + ", ".join(x for x in ("n_tokens long", "ids_sha256 string", "ids array<int>" if with_ids else "", "decoded_sha256 string" if with_decoded else "") if x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def encode_texts(docs: DataFrame, definition: str, text_col: str = "text", with_
 def decode_ids(rows: DataFrame, definition: str, ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and text: what the ids of ``ids_col`` (array<int>) stand for. Null ids give null."""
     shared = rows.sparkSession.sparkContext.broadcast(definition)
-    picked = rows.select(*cols(keep), rows[ids_col].cast("array<int>").alias("__ids"))
+    picked = rows.select(*cols(keep), rows[ids_col].cast("array<int>").alias(unused("__ids", *keep)))
     kinds = ddl(rows, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,11 +99,25 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == fold
 
 
+def unused(name: str, *others: str) -> str:
+    """``name``, with underscores before it until none of the others begins with it, in either case."""
+    taken = [o.casefold() for o in others]
+    while any(o.startswith(name.casefold()) for o in taken):
+        name = "_" + name
+    return name
+
+
 def cols(names: Iterable[str]) -> list[Column]:
     """The columns of exactly these names, whatever characters they hold."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def with_text(docs: DataFrame, keep: Iterable[str], text_col: str) -> DataFrame:
+    """The columns ``keep`` and, as the last one, the text; its name is none of theirs."""
+    keep = list(keep)
+    return docs.select(*cols(keep), docs[text_col].cast("string").alias(unused("__text", *keep)))
+
+
 def ddl(df: DataFrame, names: Iterable[str]) -> str:
     """The named columns as the beginning of a schema text."""
     kinds = dict(df.dtypes)

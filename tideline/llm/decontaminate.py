@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cols, ddl, table, text_chunks, utf8
+from .common import cols, ddl, table, text_chunks, unused, utf8, with_text
 
 WINDOW = 13
 #: Bytes of benchmark texts in one broadcast block; a larger benchmark has more blocks, not larger ones.
@@ -193,7 +193,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     20 * n_hit >= n_words. Null and empty texts have no words and are never contaminated; an item without words has no
     windows; items that share an id count once, a null id is the empty text. Every row of ``docs`` gives one row."""
     parts = blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    picked = with_text(docs, keep, text_col)
     kinds = ddl(docs, keep)
     names = [*keep, *(prefix + c for c in ("n_words", "n_hit", "items", "contaminated"))]
 
@@ -260,8 +260,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_i
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated rows; columns as they are."""
     names = docs.columns
-    marked = hits(docs, benchmark, keep=tuple(names), prefix="__decon_", **options)
-    return marked.where(~F.col("__decon_contaminated")).select(*cols(names))
+    prefix = unused("__decon_", *names)
+    marked = hits(docs, benchmark, keep=tuple(names), prefix=prefix, **options)
+    return marked.where(~F.col(f"{prefix}contaminated")).select(*cols(names))
 
 
 def op7_training_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, cols, ddl, discard, listed, mix, shingle_hashes, table, text_chunks, utf8, word_hashes, word_spans, written
+from .common import LOWER, NOT_SPACE, ddl, discard, listed, mix, shingle_hashes, table, text_chunks, utf8, with_text, word_hashes, word_spans, written
 from .components import components
 
 #: Shared prefix shingles of more nodes than this give a star instead of pairs.
@@ -64,7 +64,7 @@ def fingerprint(shingles: np.ndarray) -> int:
 def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, fp long (null for empty sets) and n long of each row, and besides rows with token and
     seen, which tell the shingles that are locally frequent."""
-    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    picked = with_text(docs, keep, text_col)
     kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

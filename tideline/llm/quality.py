@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cols, ddl, held_out, table, text_chunks, utf8
+from .common import cols, ddl, held_out, table, text_chunks, unused, utf8, with_text
 from .sampling import labelled
 
 #: Labelled texts of each class in the fit, about; half make the dictionary, half the calibration.
@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", keep
     """The columns ``keep`` and the score (double) of each row's whole text; nulls and empty texts score as the empty
     text. One row out for each row in, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    picked = with_text(docs, keep, text_col)
     kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,8 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", keep
 def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more; columns as they are."""
     names = docs.columns
-    return score(docs, model, text_col, tuple(names), "__quality").where(F.col("__quality") >= threshold).select(*cols(names))
+    own = unused("__quality", *names)
+    return score(docs, model, text_col, tuple(names), own).where(F.col(own) >= threshold).select(*cols(names))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

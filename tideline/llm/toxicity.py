@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, cols, ddl, held_out, mix, table, text_chunks, utf8, word_hashes, word_spans
+from .common import LOWER, byte_class, ddl, held_out, mix, table, text_chunks, utf8, with_text, word_hashes, word_spans
 from .sampling import FIT_BYTES, labelled, texts_of, thinned
 
 #: Confirmed toxic texts and unlabelled texts in the fit, about.
@@ -40,6 +40,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(texts), np.concatenate(hashes)
 
 
+def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the risk with logistic loss, and their gradients: that of positives, prior times their mean loss as
+    positives; and that of negatives, the mean loss of unlabelled texts as negatives less prior times that of positives,
+    which the estimator holds at zero or above. ``theta`` has the weights and then the bias."""
+    gp, gu = (x @ theta[:-1].astype(x.dtype) + theta[-1] for x in (xp, xu))
+    sp, su = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
+    grad = lambda x, d: np.append(d.astype(x.dtype) @ x, d.sum()) / len(d)
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    return prior * np.logaddexp(0, -gp).mean(), negative, prior * grad(xp, sp - 1), grad(xu, su) - prior * grad(xp, sp)
+
+
 class PuModel:
     """Hashes of the chosen features, their weights, and the bias."""
 
@@ -79,16 +90,9 @@ class PuModel:
     def _train(self, xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 250, rate: float = 0.08, decay: float = 2e-4) -> None:
         theta = np.append(self.weights, self.bias)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-
-        def grads(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-            return np.append(d.astype(np.float32) @ x, d.sum()) / len(d)
-
         for t in range(1, steps + 1):
-            gp, gu = xp @ theta[:-1].astype(np.float32) + theta[-1], xu @ theta[:-1].astype(np.float32) + theta[-1]
-            sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            of_negative = grads(xu, su) - prior * grads(xp, sp)
-            step = prior * grads(xp, sp - 1) + of_negative if negative >= 0 else -of_negative
+            _, negative, of_positive, of_negative = risk(theta, xp, xu, prior)
+            step = of_positive + of_negative if negative >= 0 else -of_negative
             step[:-1] += decay * theta[:-1]
             m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step * step
             theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -143,7 +147,7 @@ def score(docs: DataFrame, model: PuModel, text_col: str = "text", keep: tuple[s
     """The columns ``keep`` and the score (double) of each row's whole text; nulls count as the empty text, which has
     the score of a text without any toxic sign. One row out for each row in, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
-    picked = docs.select(*cols(keep), docs[text_col].cast("string").alias("__text"))
+    picked = with_text(docs, keep, text_col)
     kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,46 @@ def test_large_groups_and_tiles(spark, monkeypatch):
     assert {tuple(r) for r in got} == brute(docs, 3, 70)
 
 
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    new = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    kept = ruled_out = 0
+    for n in (1, 5, 60, 64, 65, 700, 5000, 140_000):
+        for share in (0.0, 0.05, 0.08, 0.1, 0.3, 1.0):
+            x = new(n)
+            y = np.union1d(x[: n - int(share * n * rng.random())], new(int(share * n)))
+            inter = len(np.intersect1d(x, y))
+            one, two = (jaccard._Sketch(jaccard.sketch(s), len(s)) for s in (x, y))
+            linked = 100 * inter >= 85 * (len(x) + len(y) - inter)
+            kept += linked
+            assert one.may_link(two, 85) or not linked
+        ruled_out += not jaccard._Sketch(jaccard.sketch(x), n).may_link(jaccard._Sketch(jaccard.sketch(new(n)), n), 85)
+    assert kept > 15 and ruled_out >= 7
+
+
+def test_chance_matches_make_no_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    common = "one two three four"
+    first = int(jaccard.Shingles(4).sets(jaccard.pa.array([common])).__next__()[0])
+    docs, few = [], []
+    while len(docs) < 60:  # the shared shingle is in all prefixes
+        text = common + "".join(f" v{rng.randint(0, 10**6)}" for _ in range(3))
+        if int(next(jaccard.Shingles(4).sets(jaccard.pa.array([text])))[0]) == first:
+            docs.append((len(docs), text))
+    docs += [(60, docs[7][1].upper()), (61, " ".join(f"w{i}" for i in range(90))), (62, " ".join(f"w{i}" for i in range(91)))]
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    sets_of = jaccard._sets_of
+    monkeypatch.setattr(jaccard, "_sets_of", lambda rows, ids, *a: few.append(ids.count()) or sets_of(rows, ids, *a))
+    for most in (100, 24, 5):  # as pairs, by sketches, as stars
+        monkeypatch.setattr(jaccard, "PAIRS_UP_TO", min(most, 24) if most < 100 else 100)
+        monkeypatch.setattr(jaccard, "SKETCHED_UP_TO", 2048 if most > 5 else 5)
+        got = jaccard.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), k=4, percent=85).collect()
+        assert {tuple(r) for r in got} == brute(docs, 4, 85)
+    assert few[:2] == [2, 2] and few[2] > 2
+
+
 def test_drop_copies(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (9, text + " more", "c"), (1, None, "d"), (2, "", "e"), (None, "zzz", "f"), (4, "unlike", "g")]

@@ -77,7 +77,12 @@ def discard(*tables: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        forget_shuffles(tables[0].sparkSession)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Has the JVM tidy up, so that Spark removes the shuffles of what has been written."""
+    spark._jvm.System.gc()
 
 
 #: Ids that a join broadcasts, at most (16 bytes each as numbers); more are shuffled.

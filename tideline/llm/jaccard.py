@@ -6,13 +6,17 @@ estimated candidates cost least; a pair becomes a candidate only with as many sh
 requirement of the two, and as many as the overlap that is left to find demands. The order only decides about speed:
 any order gives all links.
 
-Equal sets are one node. A prefix shingle of few nodes gives their pairs; one of many nodes gives a star, so that the
-rows stay linear in the input however large a group of copies is. The components of these edges are groups that no link
-leaves; inside a group all pairs that are not yet known to be connected are compared exactly, in tiles of bounded size.
+Equal sets are one node. A prefix shingle of few nodes gives their pairs, one of more nodes those that connect whatever
+could be linked, one of very many nodes a star, so that the rows stay linear in the input however large a group of copies
+is. Parity sketches bound the symmetric difference of two sets from below; a pair whose sketches differ by more than a link
+allows can't be linked and is no edge, or else chance matches grow into groups of most of the corpus. The components of
+these edges are groups that no link leaves; inside a group all pairs that are not yet known to be connected are compared
+exactly, in tiles of bounded size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, ddl, discard, listed, mix, shingle_hashes, table, text_chunks, utf8, with_text, word_hashes, word_spans, written
+from .common import LOWER, NOT_SPACE, ddl, discard, forget_shuffles, listed, mix, shingle_hashes, table, text_chunks, utf8, with_text, word_hashes, word_spans, written
 from .components import components
 
-#: Shared prefix shingles of more nodes than this give a star instead of pairs.
-PAIRS_UP_TO = 24
+#: Shared prefix shingles of more nodes than this give no pairs to be counted: up to the second number the sketches of
+#: their nodes are compared in one place, beyond it they give a star.
+PAIRS_UP_TO, SKETCHED_UP_TO = 24, 2048
+#: Bits of a parity sketch: the power of two that isn't below the set's size, between these.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: Longest multi-match requirement that a document considers, and the cost of verifying a candidate in postings.
 MOST_MATCHES, VERIFY_COST = 8, 50
 #: Shingles are counted locally in so many classes by their hashes, so many of a class at a time; those seen this often are
@@ -61,14 +68,42 @@ def fingerprint(shingles: np.ndarray) -> int:
         return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) ^ np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Which of so many bits an odd number of shingles falls on. Half of the bits, xor the other half, is the sketch of half
+    as many bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Sketch:
+    """A sketch as a number, with the smaller ones that were asked for."""
+
+    def __init__(self, data: bytes, n: int):
+        self.n, self.bits = n, 8 * len(data)
+        self.of = {self.bits: int.from_bytes(data, "little")}
+
+    def at(self, bits: int) -> int:
+        if bits not in self.of:
+            wide = self.at(2 * bits)
+            self.of[bits] = (wide ^ (wide >> bits)) & ((1 << bits) - 1)
+        return self.of[bits]
+
+    def may_link(self, other: _Sketch, percent: int) -> bool:
+        """False only if the sets can't be linked: each differing bit is a shingle that one of them has alone."""
+        total = self.n + other.n
+        bits = min(self.bits, other.bits)
+        return (self.at(bits) ^ other.at(bits)).bit_count() <= total - 2 * -(-percent * total // (100 + percent))
+
+
 def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep``, fp long (null for empty sets) and n long of each row, and besides rows with token and
-    seen, which tell the shingles that are locally frequent."""
+    """The columns ``keep``, fp long and sketch binary (null for empty sets) and n long of each row, and besides rows with
+    token and seen, which tell the shingles that are locally frequent."""
     picked = with_text(docs, keep, text_col)
     kinds = ddl(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keep, "fp", "n", "token", "seen"]
+        names = [*keep, "fp", "n", "sketch", "token", "seen"]
         held: list[list[np.ndarray]] = [[] for _ in range(COUNT_CLASSES)]
         sizes = [0] * COUNT_CLASSES
         schema = None
@@ -78,14 +113,15 @@ def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) ->
             token, seen = token[seen >= REPORTED], seen[seen >= REPORTED]
             held[k], sizes[k] = [], 0
             none = [pa.nulls(len(token), f.type) for f in schema]
-            return pa.RecordBatch.from_arrays([*none, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(seen)], names=names)
+            return pa.RecordBatch.from_arrays([*none, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(seen)], names=names)
 
         for chunk in text_chunks(batches):
             schema = list(chunk.schema)[:-1]
             sets = list(Shingles(k).sets(chunk.column(chunk.num_columns - 1)))
             m = chunk.num_rows
             fp, n = [fingerprint(x) if len(x) else None for x in sets], [len(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+            sketches = pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(fp, pa.int64()), pa.array(n, pa.int64()), sketches, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
             every = np.concatenate(sets)
             which = every % np.uint64(COUNT_CLASSES)
             for c in range(COUNT_CLASSES):
@@ -97,7 +133,7 @@ def described(docs: DataFrame, k: int, text_col: str, keep: tuple[str, ...]) ->
             if sizes[c]:
                 yield frequent(c)
 
-    return picked.mapInArrow(run, f"{kinds}fp long, n long, token long, seen long")
+    return picked.mapInArrow(run, f"{kinds}fp long, n long, sketch binary, token long, seen long")
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int, text_col: str) -> DataFrame:
@@ -144,28 +180,80 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, p
     return docs.select(docs[text_col].cast("string").alias("__text")).mapInArrow(run, "token long, fp long, n long, need int")
 
 
-def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets with enough shared prefix shingles, and stars over those shingles that many sets share.
-    Whatever two sets are linked, the edges connect them."""
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of the sets of each token, edges that connect all pairs whose sketches allow a link. ``rows``: token long, fp
+    long, n long, sketch binary; SKETCHED_UP_TO sets of a token at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # copies share many tokens
+        for group in _runs(batches):
+            fps = group.column("fp").to_numpy()
+            key = hashlib.sha256(fps.tobytes()).digest()
+            if key in done:
+                continue
+            if len(done) > 100_000:
+                done.clear()
+            done.add(key)
+            every = [_Sketch(d, n) for d, n in zip(group.column("sketch").to_pylist(), group.column("n").to_pylist(), strict=True)]
+            union, edges = _Union(len(every)), []
+            for x, one in enumerate(every):  # in the order of their sizes
+                for y in range(x + 1, len(every)):
+                    if 100 * one.n < percent * every[y].n:
+                        break
+                    if union.label[x] != union.label[y] and one.may_link(every[y], percent):
+                        union.join(x, y)
+                        edges.append((x, y))
+            if edges:
+                both = fps[np.array(edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return rows.select("token", "fp", "n", "sketch").repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "a long, b long")
+
+
+def _allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    side = lambda p: nodes.select(*(F.col(c).alias(f"{p}{c}") for c in ("fp", "n", "sketch")))
+    both = pairs.join(side("x"), F.col("a") == F.col("xfp")).join(side("y"), F.col("b") == F.col("yfp")).select("a", "b", "xn", "xsketch", "yn", "ysketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, *columns = (c.to_pylist() for c in batch.columns)
+            good = [_Sketch(xs, xn).may_link(_Sketch(ys, yn), percent) for xn, xs, yn, ys in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def candidate_edges(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets with enough shared prefix shingles, edges between the sets that share a frequent one, and stars
+    over those that very many sets share. Whatever two sets are linked, the edges connect them. ``nodes``: fp, n, sketch."""
     # tables, so that the joins have a plain shuffle on either side and Spark can split a shingle that many sets share
     several = written(rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("token", "lead"), "several")
+    forget_shuffles(rows.sparkSession)  # this one and the next hold all prefixes
     # what is left is small; only here the copies of a set that other tasks emitted go, and sets are counted
     raw = written(rows.join(several, "token"), "raw")
+    forget_shuffles(rows.sparkSession)
     once = written(raw.dropDuplicates(["token", "fp"]), "once")
+    discard(several, raw)
     sizes = written(once.groupBy("token").agg(F.count("*").alias("size")), "sizes")
     shared = written(once.join(sizes, "token"), "shared")
-    discard(several, raw, once, sizes)
-    stars = shared.where(F.col("size") > PAIRS_UP_TO).where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
+    discard(once, sizes)
+    stars = shared.where(F.col("size") > SKETCHED_UP_TO).where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    some = shared.where((F.col("size") > PAIRS_UP_TO) & (F.col("size") <= SKETCHED_UP_TO)).select("token", "fp")
+    met = _meeting(some.join(nodes.select("fp", "n", "sketch"), "fp"), percent)
     few = shared.where(F.col("size") <= PAIRS_UP_TO)
     members = F.array_sort(F.collect_list(F.struct("fp", "n", "need")))  # PAIRS_UP_TO at most
     pairs = few.groupBy("token").agg(members.alias("m")).select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["fp"] > F.col("x.fp"))).alias("y"))
     pairs = pairs.where((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     counted = pairs.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("c"), *(F.min(f"{p}.{c}").alias(f"{p}{c}") for p in "xy" for c in ("n", "need")))
-    # sets that also meet in a star are connected by it; their count here may be short of what they share
+    # sets that also meet in a frequent shingle are connected there; their count here may be short of what they share
     rest = lambda p: F.ceil(F.col(f"{p}n") * percent / 100) - F.col(f"{p}need")  # noqa: E731  beyond the prefix
     overlap = F.ceil((F.col("xn") + F.col("yn")) * percent / (100 + percent) - 1e-9)
     enough = (F.col("c") >= F.least("xneed", "yneed")) & (F.col("c") >= overlap - F.greatest(rest("x"), rest("y")))
-    return stars.unionByName(counted.where(enough).select("a", "b"))
+    found = written(counted.where(enough).select("a", "b"), "pairs")
+    edges = written(stars.unionByName(met).distinct().unionByName(_allowed(found, nodes, percent)), "edges")
+    discard(shared, found)
+    return edges
 
 
 class _Union:
@@ -363,18 +451,18 @@ def _classed(docs: DataFrame, k: int, percent: int, doc_col: str, text_col: str)
         order = np.argsort(token)
         frequent = token[order], picked.column("seen").to_numpy().astype(np.float64)[order]
     rows = desc.where("n is not null")
-    nodes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     heads = written(prefixes(docs, frequent, k, percent, text_col), "prefixes")
-    edges = written(candidate_edges(heads, percent), "edges")
+    edges = candidate_edges(heads, nodes, percent)
     discard(seen, heads)
-    groups = written(components(edges).withColumnRenamed("node", "fp").join(nodes, "fp"), "groups")
+    groups = written(components(edges).withColumnRenamed("node", "fp").join(nodes.select("fp", "rep"), "fp"), "groups")
     found = _sets_of(docs, groups, k, doc_col, text_col).groupBy("fp").agg(F.first("tokens").alias("tokens"))
     sets = written(found.join(groups.select("fp", "label"), "fp"), "sets")
     linked = components(written(_links(sets, edges, percent), "links")).withColumnRenamed("node", "fp")
     named = written(linked.join(groups.select("fp", "rep"), "fp"), "linked")
     classes = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id")
     # a table, so that the join below has a plain shuffle on either side and Spark can split a set that many rows share
-    known = written(nodes.join(classes, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id")), "known")
+    known = written(nodes.select("fp", "rep").join(classes, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id")), "known")
     discard(nodes, edges, groups, sets, named)
     return rows.join(known, "fp", "left").select("doc_id", "fp", "label", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

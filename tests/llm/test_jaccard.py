@@ -107,6 +107,25 @@ def test_chance_matches_make_no_groups(spark, monkeypatch):
     assert few[:2] == [2, 2] and few[2] > 2
 
 
+def test_prefixes_are_shuffled_class_by_class(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = corpus(7) + [(1000 + k, " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(40))) for k in range(60)]
+    written, rows = jaccard.written, {}
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "STEP_ROWS", 300, raising=False)
+    got = jaccard.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), k=4, percent=85).collect()
+    assert {tuple(r) for r in got} == brute(docs, 4, 85) and len(got) == len(docs)
+    assert len(rows["several"]) == min(8, 1 + rows["prefixes"][0] // 300) > 2
+    for name in ("several", "raw", "shared"):
+        assert 0 < max(rows[name]) < 0.7 * sum(rows[name])
+
+
 def test_drop_copies(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (9, text + " more", "c"), (1, None, "d"), (2, "", "e"), (None, "zzz", "f"), (4, "unlike", "g")]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ MOST_MATCHES, VERIFY_COST = 8, 50
 COUNT_CLASSES, COUNT_WINDOW, REPORTED = 4, 1_500_000, 2
 #: Frequent shingles in the global order's table, at most (16 bytes each); others count as rare.
 FREQUENT = 1 << 18
+#: Prefix rows that are shuffled at a time, about, and the most steps that are made of them.
+STEP_ROWS, MOST_STEPS = 10_000_000, 8
 #: Bytes of shingle sets in a tile's block, and what a set counts beside its shingles, which bounds the sets in a block.
 TILE_BYTES, SET_BYTES = 12_000_000, 600
 
@@ -224,12 +227,18 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets with enough shared prefix shingles, edges between the sets that share a frequent one, and stars
-    over those that very many sets share. Whatever two sets are linked, the edges connect them. ``nodes``: fp, n, sketch."""
+def shared_prefixes(heads: DataFrame) -> list[DataFrame]:
+    """(token, fp, n, need, lead, size) of the prefix shingles that several sets share, each set once: tables that
+    ``written`` made, one for each class of tokens. Most prefix shingles have one set only and end here; class by class,
+    so that never more than a class of them is on the disk as shuffles."""
+    steps = min(MOST_STEPS, 1 + heads.count() // STEP_ROWS)
+    return [_shared(heads.where(F.pmod("token", F.lit(steps)) == step) if steps > 1 else heads) for step in range(steps)]
+
+
+def _shared(rows: DataFrame) -> DataFrame:
     # tables, so that the joins have a plain shuffle on either side and Spark can split a shingle that many sets share
     several = written(rows.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("token", "lead"), "several")
-    forget_shuffles(rows.sparkSession)  # this one and the next hold all prefixes
+    forget_shuffles(rows.sparkSession)  # this one and the next hold all prefixes of the class
     # what is left is small; only here the copies of a set that other tasks emitted go, and sets are counted
     raw = written(rows.join(several, "token"), "raw")
     forget_shuffles(rows.sparkSession)
@@ -238,6 +247,14 @@ def candidate_edges(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     sizes = written(once.groupBy("token").agg(F.count("*").alias("size")), "sizes")
     shared = written(once.join(sizes, "token"), "shared")
     discard(once, sizes)
+    return shared
+
+
+def candidate_edges(parts: list[DataFrame], nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets with enough shared prefix shingles, edges between the sets that share a frequent one, and stars
+    over those that very many sets share. Whatever two sets are linked, the edges connect them. ``parts``: what
+    shared_prefixes gives; they are deleted. ``nodes``: fp, n, sketch."""
+    shared = reduce(DataFrame.unionByName, parts)
     stars = shared.where(F.col("size") > SKETCHED_UP_TO).where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
     some = shared.where((F.col("size") > PAIRS_UP_TO) & (F.col("size") <= SKETCHED_UP_TO)).select("token", "fp")
     met = _meeting(some.join(nodes.select("fp", "n", "sketch"), "fp"), percent)
@@ -252,7 +269,7 @@ def candidate_edges(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     enough = (F.col("c") >= F.least("xneed", "yneed")) & (F.col("c") >= overlap - F.greatest(rest("x"), rest("y")))
     found = written(counted.where(enough).select("a", "b"), "pairs")
     edges = written(stars.unionByName(met).distinct().unionByName(_allowed(found, nodes, percent)), "edges")
-    discard(shared, found)
+    discard(*parts, found)
     return edges
 
 
@@ -453,8 +470,9 @@ def _classed(docs: DataFrame, k: int, percent: int, doc_col: str, text_col: str)
     rows = desc.where("n is not null")
     nodes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     heads = written(prefixes(docs, frequent, k, percent, text_col), "prefixes")
-    edges = candidate_edges(heads, nodes, percent)
+    shared = shared_prefixes(heads)
     discard(seen, heads)
+    edges = candidate_edges(shared, nodes, percent)
     groups = written(components(edges).withColumnRenamed("node", "fp").join(nodes.select("fp", "rep"), "fp"), "groups")
     found = _sets_of(docs, groups, k, doc_col, text_col).groupBy("fp").agg(F.first("tokens").alias("tokens"))
     sets = written(found.join(groups.select("fp", "label"), "fp"), "sets")
